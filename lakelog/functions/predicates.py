@@ -15,6 +15,7 @@ from pyspark.sql.types import (
     BooleanType,
     DataType,
     DateType,
+    IntegralType,
     NumericType,
     StringType,
     StructField,
@@ -39,19 +40,54 @@ def read_cond(cond: str) -> str:
     return cond.upper()
 
 
-def term_predicate(field: StructField, term: Term, case_sensitive: bool = False) -> Column | None:
-    """This column holds this term, or None where the column's type has no reading of the term."""
-    column, kind = quoted(field.name), field.dataType
+_DAYS = (DateType, TimestampType, TimestampNTZType)
+
+
+def takes(kind: DataType, term: Term) -> bool:
+    """A column of this type has a reading of the term. Types outside the four families take no term."""
+    return (
+        isinstance(kind, StringType)
+        or (isinstance(kind, NumericType) and term.number is not None)
+        or (isinstance(kind, _DAYS) and term.day is not None)
+        or (isinstance(kind, BooleanType) and term.truth is not None)
+    )
+
+
+def _contains(text: Column, terms: Sequence[Term]) -> Column:
+    """A lower-cased text holds one of the terms."""
+    return _fold([text.contains(t.text.lower()) for t in terms], _OR)
+
+
+def _holds(column: Column, kind: DataType, terms: Sequence[Term], case_sensitive: bool) -> Column:
+    """The column holds one of the terms, all of which its type can read."""
     if isinstance(kind, StringType):
-        return column.contains(term.text) if case_sensitive else F.lower(column).contains(term.text.lower())
-    if isinstance(kind, NumericType):
-        return None if term.number is None else column == F.lit(term.number)
-    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        if case_sensitive:
+            return _fold([column.contains(t.text) for t in terms], _OR)
+        if len(terms) == 1:
+            return _contains(F.lower(column), terms)
+        # As the one element of an array the text is lower-cased once, and not once per term.
+        return F.exists(F.array(F.lower(column)), lambda text: _contains(text, terms))
+    if isinstance(kind, _DAYS):
         # Catalyst turns the cast-equality into a half-open range on the bare column.
-        return None if term.day is None else column.cast("date") == F.lit(term.day)
+        return _fold([column.cast("date") == F.lit(t.day) for t in terms], _OR)
     if isinstance(kind, BooleanType):
-        return None if term.truth is None else column == F.lit(term.truth)
-    return None
+        return _fold([column == F.lit(t.truth) for t in terms], _OR)
+    # One IN for the whole numbers; the others stay single, as IN would bring all to one type.
+    whole = [t.number for t in terms if isinstance(t.number, int)] if isinstance(kind, IntegralType) else []
+    whole = whole if len(whole) > 1 else []
+    single = [column == F.lit(t.number) for t in terms if not (whole and isinstance(t.number, int))]
+    return _fold([column.isin(whole), *single] if whole else single, _OR)
+
+
+def term_predicate(field: StructField, term: Term, case_sensitive: bool = False) -> Column | None:
+    """This column holds this term, or None where the column's type has no reading of the term."""
+    if not takes(field.dataType, term):
+        return None
+    return _holds(quoted(field.name), field.dataType, [term], case_sensitive)
+
+
+_AND = Column.__and__
+_OR = Column.__or__
 
 
 def _fold(parts: Sequence[Column], op: Callable[[Column, Column], Column]) -> Column:
@@ -61,6 +97,44 @@ def _fold(parts: Sequence[Column], op: Callable[[Column, Column], Column]) -> Co
     return parts[0]
 
 
+def _any_term(fields: Sequence[StructField], terms: Sequence[Term], case_sensitive: bool) -> Column | None:
+    readable = [(f, [t for t in terms if takes(f.dataType, t)]) for f in fields]
+    leaves = [_holds(quoted(f.name), f.dataType, some, case_sensitive) for f, some in readable if some]
+    return _fold(leaves, _OR) if leaves else None
+
+
+def _every_term(fields: Sequence[StructField], terms: Sequence[Term], case_sensitive: bool) -> Column | None:
+    wanted = [[f for f in fields if takes(f.dataType, t)] for t in terms]
+    if not all(wanted):
+        return F.lit(False)
+    if not wanted:
+        return None
+    texts = [] if case_sensitive or len(terms) == 1 else [f for f in fields if isinstance(f.dataType, StringType)]
+
+    def every(lowered: dict[str, Column]) -> Column:
+        return _fold(
+            [
+                _fold(
+                    [
+                        _contains(lowered[f.name], [term])
+                        if f.name in lowered
+                        else _holds(quoted(f.name), f.dataType, [term], case_sensitive)
+                        for f in some
+                    ],
+                    _OR,
+                )
+                for term, some in zip(terms, wanted)
+            ],
+            _AND,
+        )
+
+    if not texts:
+        return every({})
+    # All texts of the row lower-cased once, for all terms.
+    row = F.struct(*[F.lower(quoted(f.name)).alias(f"t{i}") for i, f in enumerate(texts)])
+    return F.exists(F.array(row), lambda r: every({f.name: r[f"t{i}"] for i, f in enumerate(texts)}))
+
+
 def row_predicate(
     fields: Iterable[StructField], terms: Sequence[Term], cond: str = OR, case_sensitive: bool = False
 ) -> Column | None:
@@ -69,28 +143,19 @@ def row_predicate(
     None means no term can match any column, so the table need not be read. AND with a term that no column can
     hold is a constant false, which Catalyst folds to an empty scan.
     """
-    cond, fields = read_cond(cond), list(fields)
-    clauses = []
-    for term in terms:
-        leaves = [p for p in (term_predicate(f, term, case_sensitive) for f in fields) if p is not None]
-        if leaves:
-            clauses.append(_fold(leaves, lambda a, b: a | b))
-        elif cond == AND:
-            return F.lit(False)
-    if not clauses:
-        return None
-    return _fold(clauses, (lambda a, b: a & b) if cond == AND else (lambda a, b: a | b))
+    combine = _every_term if read_cond(cond) == AND else _any_term
+    return combine(list(fields), terms, case_sensitive)
 
 
 def searchable_columns(fields: Iterable[StructField], terms: Sequence[Term]) -> list[str]:
     """Columns that at least one term could match, in schema order. Looks at types, not at data."""
-    return [f.name for f in fields if any(term_predicate(f, t) is not None for t in terms)]
+    return [f.name for f in fields if any(takes(f.dataType, t) for t in terms)]
 
 
 def _bound(text: str, kind: DataType, name: str) -> Column:
     if isinstance(kind, StringType):
         return F.lit(text)
-    if not isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+    if not isinstance(kind, _DAYS):
         raise ValueError(f"column {name!r} of type {kind.simpleString()} cannot carry a date window")
     day = as_day(text)
     if day is not None:
@@ -122,4 +187,4 @@ def window_predicate(
         if last is None:
             raise ValueError(f"end of the date window must be YYYY-MM-DD, got {end!r}")
         parts.append(column < _bound((last + dt.timedelta(days=1)).isoformat(), kind, ingested_col))
-    return _fold(parts, lambda a, b: a & b)
+    return _fold(parts, _AND)

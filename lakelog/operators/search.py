@@ -26,7 +26,10 @@ INGESTED_COL = "ingested_at"
 # Tables per union: bounds the size of one plan. A larger lake is searched in several jobs.
 BRANCHES = 64
 
-_TABLE_NO = "_table_no"
+TABLE_NO = "table_no"
+
+# The low bits of a generated id count rows inside a task; the high bits number the task.
+_TASK_MASK = (1 << 33) - 1
 
 
 @dataclass(frozen=True)
@@ -71,8 +74,8 @@ class Search:
             return None
         window = window_predicate(df.schema.fields, self.ingested_col, self.date_range)
         rows = (df if window is None else df.where(window)).where(predicate)
-        keep = self.columns(df)
-        if not (self.project_matched_only and keep):
+        keep = self.columns(df) if self.project_matched_only else []
+        if not keep:
             return rows
         if self.ingested_col in df.columns and self.ingested_col not in keep:
             keep.append(self.ingested_col)
@@ -91,8 +94,12 @@ def search_one_table(df: DataFrame, search: Search) -> DataFrame | None:
     return None if rows is None else search.limited(rows)
 
 
+def _json(row: Column) -> Column:
+    return F.to_json(row, {"ignoreNullFields": "false"}).alias("row_json")
+
+
 def _row_json(rows: DataFrame) -> Column:
-    return F.to_json(F.struct(*[quoted(c) for c in rows.columns]), {"ignoreNullFields": "false"}).alias("row_json")
+    return _json(F.struct(*[quoted(c) for c in rows.columns]))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame | None:
@@ -121,7 +128,7 @@ def search_lake(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
     return _empty(spark, "database string, table string, row_json string") if found is None else found
 
 
-def _with_messages(spark: SparkSession, lake: Lake, search: Search, counts: DataFrame) -> DataFrame:
+def with_messages(spark: SparkSession, lake: Lake, search: Search, counts: DataFrame) -> DataFrame:
     """Turn ``(table_no, n)`` into summary rows. The broadcast side has one row per table of the lake."""
     facts = []
     for number, ((db, table), df) in enumerate(lake.items()):
@@ -129,11 +136,11 @@ def _with_messages(spark: SparkSession, lake: Lake, search: Search, counts: Data
         facts.append(
             (number, db, table, ", ".join(columns), f" rows matched {search.cond} {list(search.words)} in {columns}")
         )
-    about = spark.createDataFrame(facts, f"{_TABLE_NO} int, database string, table string, matched_columns string, tail string")
+    about = spark.createDataFrame(facts, f"{TABLE_NO} int, database string, table string, matched_columns string, tail string")
     truncated = F.lit(False) if search.cap is None else F.col("n") > search.cap
     count = F.col("n") if search.cap is None else F.least("n", F.lit(search.cap).cast("long"))
     return (
-        counts.join(F.broadcast(about), _TABLE_NO)
+        counts.join(F.broadcast(about), TABLE_NO)
         .select("database", "table", "matched_columns", count.alias("count"), truncated.alias("truncated"), "tail")
         .select(
             "database",
@@ -159,12 +166,12 @@ def search_summary(spark: SparkSession, lake: Lake, search: Search) -> DataFrame
     """
     numbers = {name: i for i, name in enumerate(lake)}
     parts = [
-        rows.select(F.lit(numbers[name]).alias(_TABLE_NO)) for name, rows in _searched(lake, search).items()
+        rows.select(F.lit(numbers[name]).alias(TABLE_NO)) for name, rows in _searched(lake, search).items()
     ]
     hits = _union(parts)
     if hits is None:
-        hits = _empty(spark, f"{_TABLE_NO} int")
-    return _with_messages(spark, lake, search, hits.groupBy(_TABLE_NO).agg(F.count("*").alias("n")))
+        hits = _empty(spark, f"{TABLE_NO} int")
+    return with_messages(spark, lake, search, hits.groupBy(TABLE_NO).agg(F.count("*").alias("n")))
 
 
 def matched_columns(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
@@ -188,33 +195,31 @@ def batches(lake: Lake, size: int = BRANCHES) -> Iterator[Lake]:
         yield {name: lake[name] for name in part}
 
 
-def numbered_matches(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
-    """Rows as in ``search_lake`` with a table number and, under a cap, one row more than the cap.
+def numbered_matches(spark: SparkSession, lake: Lake, search: Search, per_task: int | None = None) -> DataFrame:
+    """Matching rows as ``(table number, database, table, row_json, row_no)``, at most ``per_task`` of each task.
 
-    ``row_no`` counts from 0 inside a capped table: a limit leaves one partition, so the low bits of the generated
-    id are the row's place in it. Row number ``cap`` only tells that the table was cut.
+    ``row_no`` counts the matches of one task from 0. A limit would send what every task found to a single task; a
+    quota per task moves nothing. Under ``order_by`` the first ``cap + 1`` rows are taken instead.
     """
-    parts = []
     numbers = {name: i for i, name in enumerate(lake)}
+    parts = []
     for (db, table), rows in _searched(lake, search).items():
-        place = F.lit(0).cast("long")
-        if search.cap is not None:
-            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        if search.order_by:
+            rows = search.limited(rows, extra=1)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit(_TASK_MASK))
+        placed = rows.select(F.struct(*[quoted(c) for c in rows.columns]).alias("r"), place.alias("row_no"))
+        if per_task is not None and not search.order_by:
+            placed = placed.where(F.col("row_no") < per_task)
         parts.append(
-            search.limited(rows, extra=1).select(
-                F.lit(numbers[db, table]).alias(_TABLE_NO),
+            placed.select(
+                F.lit(numbers[db, table]).alias(TABLE_NO),
                 F.lit(db).alias("database"),
                 F.lit(table).alias("table"),
-                _row_json(rows),
-                place.alias("row_no"),
+                _json(F.col("r")),
+                "row_no",
             )
         )
     found = _union(parts)
     if found is None:
-        return _empty(spark, f"{_TABLE_NO} int, database string, table string, row_json string, row_no long")
+        return _empty(spark, f"{TABLE_NO} int, database string, table string, row_json string, row_no long")
     return found
-
-
-def summary_of(spark: SparkSession, lake: Lake, search: Search, rows: DataFrame) -> DataFrame:
-    """The summary from rows of ``numbered_matches`` that were already computed."""
-    return _with_messages(spark, lake, search, rows.groupBy(_TABLE_NO).agg(F.count("*").alias("n")))

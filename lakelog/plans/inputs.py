@@ -5,10 +5,14 @@ A user's events of one week make a run; its events in time order are the childre
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lakelog.operators.slices import HOT_ROWS, with_position
 from lakelog.schemas import OUTCOME, PLAN, RUN_KEY
+from lakelog.sinks.storage import fresh_path
 from lakelog.sources.files import parquet_table
 
 # The given tables.
@@ -18,6 +22,20 @@ TABLES = (
 ).split()
 
 
+@lru_cache(maxsize=None)
+def _schema(spark: SparkSession, folder: str, table: str) -> StructType:
+    return parquet_table(spark, folder, table).schema
+
+
+def given(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A given table. Its footer is read for the schema once per session, as a metastore would keep it."""
+    return parquet_table(spark, folder, table, _schema(spark, folder, table))
+
+
+def given_lake(spark: SparkSession, folder: str) -> dict[tuple[str, str], DataFrame]:
+    return {("lake", table): given(spark, folder, table) for table in TABLES}
+
+
 def instant(ts: Column) -> Column:
     """A zone-less time read as UTC, whatever the session zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -35,7 +53,7 @@ def run_id(user: Column, week: Column) -> Column:
 def event_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Events with their run, without their place in it."""
     user, ts = F.col("user_id"), F.col("ts")
-    return parquet_table(spark, folder, "events").select(
+    return given(spark, folder, "events").select(
         run_id(user, week_of(ts)).alias(RUN_KEY),
         F.concat(F.lit("p"), (user % 5).cast("string")).alias("pipeline_name"),
         "event_id",
@@ -101,9 +119,24 @@ def outcome_of(rows: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=None)
+def _stored(spark: SparkSession, folder: str) -> str:
+    """Write children, plan and outcome as tables, once per session: they stand for tables a lake would hold."""
+    base = fresh_path(spark, "derived")
+    children(spark, folder).write.parquet(f"{base}/children")
+    rows = spark.read.parquet(f"{base}/children")
+    plan_of(rows).write.parquet(f"{base}/plan")
+    outcome_of(rows).write.parquet(f"{base}/outcome")
+    return base
+
+
+def stored_children(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{_stored(spark, folder)}/children")
+
+
 def plan_and_outcome(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = children(spark, folder)
-    return plan_of(rows), outcome_of(rows)
+    base = _stored(spark, folder)
+    return spark.read.schema(PLAN).parquet(f"{base}/plan"), spark.read.schema(OUTCOME).parquet(f"{base}/outcome")
 
 
 def step_facts(rows: DataFrame) -> DataFrame:
@@ -127,7 +160,7 @@ def step_facts(rows: DataFrame) -> DataFrame:
 def activity(spark: SparkSession, folder: str) -> DataFrame:
     """A scheduler's record per customer and week; some runs have none and some records no run."""
     weeks = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("week")
-    customers = parquet_table(spark, folder, "customer").select("c_custkey", "c_mktsegment", weeks)
+    customers = given(spark, folder, "customer").select("c_custkey", "c_mktsegment", weeks)
     return customers.select(
         run_id(F.col("c_custkey"), F.col("week")).alias(RUN_KEY), F.col("c_mktsegment").alias("trigger_name")
     )

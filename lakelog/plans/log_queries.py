@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakelog.operators import logs, steps
 from lakelog.operators.search import Search
-from lakelog.plans.inputs import event_facts, step_facts
+from lakelog.plans.inputs import event_facts, given, step_facts
 from lakelog.plans.registry import query
 from lakelog.plans.runlog_queries import _SUMMARY, INPUT_SQL, _summary_micros, built_log
 from lakelog.schemas import CHILD_KEY, RUN_KEY, RUNLOG
 from lakelog.sinks.storage import fresh_path
 from lakelog.sinks.tables import ensure_log_table, write_lines
-from lakelog.sources.files import parquet_table
 from lakelog.streaming import sinks
 
 _RECORDS = (
@@ -66,8 +65,8 @@ def log_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 )
 def log_corrupt(spark: SparkSession, folder: str) -> DataFrame:
     """Prose and JSON of another kind among log lines: each comes back with its text, none is dropped."""
-    prose = parquet_table(spark, folder, "documents").select(F.col("text").alias("value"))
-    other = parquet_table(spark, folder, "events").select(F.col("props").alias("value"))
+    prose = given(spark, folder, "documents").select(F.col("text").alias("value"))
+    other = given(spark, folder, "events").select(F.col("props").alias("value"))
     lines = logs.to_lines(_records(spark, folder)).unionByName(prose).unionByName(other)
     return logs.from_lines(lines).where(F.col(logs.CORRUPT).isNotNull()).select(logs.CORRUPT, "msg")
 
@@ -167,7 +166,7 @@ def stream_run_summary(spark: SparkSession, folder: str) -> DataFrame:
 def stream_search(spark: SparkSession, folder: str) -> DataFrame:
     """A standing search over the events as they arrive."""
     base = fresh_path(spark, "standing")
-    schema = parquet_table(spark, folder, "events").schema
+    schema = given(spark, folder, "events").schema
     # A pattern, because a stream takes a table that is one file only through a pattern.
     events = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/events.parque[t]")
     search = Search(("error",), ingested_col="ts", date_range=("", "2024-01-15"))

@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakelog.functions import text
 from lakelog.operators import reports, runlog
 from lakelog.operators.steps import step_events as events_of, step_spans as spans_of
-from lakelog.plans.inputs import activity, children, outcome_of, plan_and_outcome, plan_of, step_facts
+from lakelog.plans.inputs import activity, given, outcome_of, plan_and_outcome, step_facts, stored_children
 from lakelog.plans.registry import query
 from lakelog.schemas import CHILD_KEY, RUN_KEY
 from lakelog.sinks.storage import fresh_path
 from lakelog.sinks.tables import append_rows, ensure_log_table, read_runlog
-from lakelog.sources.files import parquet_table
 
 # The derived inputs and, from ``st`` on, the expected status, in plain SQL.
 INPUT_SQL = """with base as (
@@ -73,7 +72,7 @@ def built_log(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(INPUT_SQL + "select pipeline_run_id, child_index, own as status from st")
 def runlog_status(spark: SparkSession, folder: str) -> DataFrame:
-    outcome = outcome_of(children(spark, folder))
+    _, outcome = plan_and_outcome(spark, folder)
     return outcome.select(*CHILD_KEY, text.status(F.col("error_class"), F.col("error_message")).alias("status"))
 
 
@@ -86,7 +85,7 @@ _CUT = "case when length({c}) <= {n} then {c} else concat(left({c}, {n}), '…[t
     + " from documents"
 )
 def text_truncate(spark: SparkSession, folder: str) -> DataFrame:
-    documents = parquet_table(spark, folder, "documents")
+    documents = given(spark, folder, "documents")
     return documents.select(
         "doc_id", *[text.truncate(F.col("text"), n).alias(f"cut_{n}") for n in (40, 80, 4096, 16384)]
     )
@@ -94,7 +93,7 @@ def text_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(INPUT_SQL + "select pipeline_run_id, child_index, args_json from log")
 def args_json(spark: SparkSession, folder: str) -> DataFrame:
-    plan = plan_of(children(spark, folder))
+    plan, _ = plan_and_outcome(spark, folder)
     return plan.select(*CHILD_KEY, text.args_json(F.col("args")).alias("args_json"))
 
 
@@ -110,7 +109,7 @@ def runlog_build(spark: SparkSession, folder: str) -> DataFrame:
     from plan"""
 )
 def plan_defaults(spark: SparkSession, folder: str) -> DataFrame:
-    plan = plan_of(children(spark, folder))
+    plan, _ = plan_and_outcome(spark, folder)
     return runlog.plan_defaults(plan).select(*CHILD_KEY, "timeout_seconds", "fail_fast", "display_name")
 
 
@@ -147,7 +146,7 @@ def runlog_first_failure(spark: SparkSession, folder: str) -> DataFrame:
 )
 def plan_violations(spark: SparkSession, folder: str) -> DataFrame:
     """Empty paths, and a pipeline whose name was lost."""
-    plan = plan_of(children(spark, folder))
+    plan, _ = plan_and_outcome(spark, folder)
     name = F.when(F.col("pipeline_name") != "p3", F.col("pipeline_name")).otherwise("")
     return runlog.plan_violations(plan.withColumn("pipeline_name", name))
 
@@ -159,11 +158,9 @@ def plan_violations(spark: SparkSession, folder: str) -> DataFrame:
 )
 def runlog_null_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with lost fields are set aside with the names of those fields."""
-    rows = children(spark, folder)
-    k = rows.select(*CHILD_KEY, "k")
     damaged = (
-        runlog.build_runlog(plan_of(rows), outcome_of(rows))
-        .join(k, CHILD_KEY)
+        runlog.build_runlog(*plan_and_outcome(spark, folder))
+        .join(stored_children(spark, folder).select(*CHILD_KEY, "k"), CHILD_KEY)
         .withColumn("notebook_path", F.when(F.col("k") % 5 != 0, F.col("notebook_path")))
         .withColumn("finished_at", F.when((F.col("k") % 7 != 0) | (F.col("status") == "skipped"), F.col("finished_at")))
         .drop("k")
@@ -240,9 +237,9 @@ def runlog_not_ok(spark: SparkSession, folder: str) -> DataFrame:
 )
 def runlog_completeness(spark: SparkSession, folder: str) -> DataFrame:
     """Some children crashed without an outcome; they have no row unless they were skipped."""
-    rows = children(spark, folder)
-    plan, outcome = plan_of(rows), outcome_of(rows.where(F.col("event_id") % 11 != 0))
-    return runlog.completeness(plan, runlog.build_runlog(plan, outcome))
+    plan, _ = plan_and_outcome(spark, folder)
+    finished = outcome_of(stored_children(spark, folder).where(F.col("event_id") % 11 != 0))
+    return runlog.completeness(plan, runlog.build_runlog(plan, finished))
 
 
 _SUMMARY = """select pipeline_run_id, count(*) as children,
@@ -299,8 +296,7 @@ def runlog_join_activity(spark: SparkSession, folder: str) -> DataFrame:
     left join shared s on s.run = l.pipeline_run_id"""
 )
 def runlog_join_steps(spark: SparkSession, folder: str) -> DataFrame:
-    rows = children(spark, folder)
-    log = runlog.build_runlog(plan_of(rows), outcome_of(rows))
-    joined = reports.with_steps(log, spans_of(events_of(step_facts(rows))))
+    records = events_of(step_facts(stored_children(spark, folder)))
+    joined = reports.with_steps(built_log(spark, folder), spans_of(records))
     steps = [c for c in joined.columns if c.startswith(("child_step", "run_step"))]
     return joined.select(*CHILD_KEY, "status", *steps)

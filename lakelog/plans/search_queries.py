@@ -18,21 +18,15 @@ from lakelog.operators.search import (
     search_summary as summarise,
     skipped_tables,
 )
-from lakelog.plans.inputs import TABLES, instant
+from lakelog.plans.inputs import TABLES, given, given_lake, instant
 from lakelog.plans.registry import query
 from lakelog.sinks.results import write_search
 from lakelog.sinks.storage import fresh_path
 from lakelog.sources.catalog import lake_columns as columns_of
-from lakelog.sources.files import parquet_lake, parquet_table
-
-
-def _lake(spark: SparkSession, folder: str, tables: list[str] = TABLES):
-    return parquet_lake(spark, folder, tables)
 
 
 def _hits(spark: SparkSession, folder: str, table: str, search: Search) -> DataFrame:
-    rows = search.matching(parquet_table(spark, folder, table))
-    assert rows is not None
+    rows = search.matching(given(spark, folder, table))
     return rows
 
 
@@ -41,7 +35,7 @@ _COUNTS = " union all ".join(f"select '{t}' as \"table\", count(*) as n from {t}
 
 @query(f"with c as ({_COUNTS}) select 'lake' as database, \"table\", n as rows from c")
 def scan_lake_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table_counts(spark, _lake(spark, folder))
+    return table_counts(spark, given_lake(spark, folder))
 
 
 @query(
@@ -55,7 +49,7 @@ def scan_lake_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def lake_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Every column beside the size of its table."""
-    lake = _lake(spark, folder)
+    lake = given_lake(spark, folder)
     return table_counts(spark, lake).join(columns_of(spark, lake), ["database", "table"])
 
 
@@ -88,7 +82,7 @@ def search_date(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select doc_id from labels where toxic = 1")
 def search_boolean(spark: SparkSession, folder: str) -> DataFrame:
-    labels = parquet_table(spark, folder, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    labels = given(spark, folder, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
     return Search(("TRUE",)).matching(labels).select("doc_id")
 
 
@@ -188,7 +182,7 @@ def _sql_hits(words: list[str]) -> str:
 )
 def search_skipped_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Which tables are never read, beside the hits of those that are."""
-    lake, search = _lake(spark, folder), Search(("BUILDING",), cap=None)
+    lake, search = given_lake(spark, folder), Search(("BUILDING",), cap=None)
     name = ["database", "table"]
     skipped = skipped_tables(spark, lake, search).select(*name, F.lit(True).alias("skipped"))
     hits = summarise(spark, lake, search).select(*name, F.col("count").alias("hits"))
@@ -197,7 +191,7 @@ def search_skipped_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _window(spark: SparkSession, folder: str, start: str, end: str) -> DataFrame:
-    events = parquet_table(spark, folder, "events")
+    events = given(spark, folder, "events")
     return events.where(window_predicate(events.schema.fields, "ts", (start, end))).select("event_id")
 
 
@@ -259,7 +253,7 @@ _COLUMN_ROWS = ", ".join(f"('{t}', '{_sql_columns(t)}')" for t in TABLES)
 )
 def matched_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The columns any word could match, beside the rows it did match."""
-    lake, search, name = _lake(spark, folder), Search(tuple(_MIXED), cap=None), ["database", "table"]
+    lake, search, name = given_lake(spark, folder), Search(tuple(_MIXED), cap=None), ["database", "table"]
     hits = summarise(spark, lake, search).select(*name, F.col("count").alias("hits"))
     listed = columns_by_table(spark, lake, search).withColumn("matched_columns", F.array_join("matched_columns", ", "))
     return listed.join(hits, name, "left").fillna(0, ["hits"])
@@ -280,7 +274,7 @@ def search_project_matched(spark: SparkSession, folder: str) -> DataFrame:
 )
 def search_one_table(spark: SparkSession, folder: str) -> DataFrame:
     search = Search(("Error", "66"), "AND", ingested_col="ts", date_range=("2024-01-05", "2024-01-25"), cap=None)
-    rows = search_table(parquet_table(spark, folder, "events"), search)
+    rows = search_table(given(spark, folder, "events"), search)
     return rows.select("event_id", "user_id", "props")
 
 
@@ -291,7 +285,7 @@ def _row_key(row_json: str) -> F.Column:
 @query(f"select 'lake' as database, \"table\", row_key from ({_sql_hits(['ring', '42', '2024-01-15'])})")
 def search_lake(spark: SparkSession, folder: str) -> DataFrame:
     search = Search(("ring", "42", "2024-01-15"), cap=None)
-    found = search_tables(spark, _lake(spark, folder), search)
+    found = search_tables(spark, given_lake(spark, folder), search)
     return found.select("database", "table", _row_key("row_json").alias("row_key"))
 
 
@@ -301,7 +295,7 @@ def search_lake(spark: SparkSession, folder: str) -> DataFrame:
 )
 def search_cap(spark: SparkSession, folder: str) -> DataFrame:
     """The row cap is the feature here: rows that a limit of 100 per table leaves, and whether it cut any."""
-    lake, search = _lake(spark, folder), Search(("42",), cap=100)
+    lake, search = given_lake(spark, folder), Search(("42",), cap=100)
     name = ["database", "table"]
     kept = search_tables(spark, lake, search).groupBy(*name).agg(F.count("*").alias("count"))
     return kept.join(summarise(spark, lake, search).select(*name, "truncated"), name)
@@ -316,7 +310,7 @@ def search_cap(spark: SparkSession, folder: str) -> DataFrame:
     from c join h on h.t = c.t"""
 )
 def search_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summarise(spark, _lake(spark, folder), Search(tuple(_MIXED), cap=1000))
+    return summarise(spark, given_lake(spark, folder), Search(tuple(_MIXED), cap=1000))
 
 
 @query(
@@ -327,7 +321,7 @@ def search_results(spark: SparkSession, folder: str) -> DataFrame:
     """Write the results and read them back: rows in the files beside the count in the summary."""
     search = Search(("ring",))
     when = dt.datetime(2024, 1, 31, 12, 0, 0)
-    dest = write_search(spark, _lake(spark, folder), search, fresh_path(spark, "results"), when)
+    dest = write_search(spark, given_lake(spark, folder), search, fresh_path(spark, "results"), when)
     schema = "row_json string, database string, table string"
     name = ["database", "table"]
     rows = spark.read.schema(schema).parquet(f"{dest}/matches").groupBy(*name).agg(F.count("*").alias("rows"))
@@ -342,20 +336,20 @@ def search_results(spark: SparkSession, folder: str) -> DataFrame:
       else concat(left(cleaned, 30 - length(cast(place as varchar))), '_', place) end as safe_name from p"""
 )
 def safe_names(spark: SparkSession, folder: str) -> DataFrame:
-    parts = parquet_table(spark, folder, "part")
+    parts = given(spark, folder, "part")
     name = F.concat("p_brand", F.lit("/"), "p_type", F.lit(":"), "p_name")
     return name_safely(parts.select(F.col("p_partkey").alias("ordinal"), name.alias("name")))
 
 
 def _listed_names(spark: SparkSession, folder: str) -> DataFrame:
     """Texts, addresses and part names as column names of a lake: three sources, whole values."""
-    documents = parquet_table(spark, folder, "documents").select(
+    documents = given(spark, folder, "documents").select(
         F.lit("docs").alias("database"), F.col("source").alias("table"), F.col("text").alias("column")
     )
-    pages = parquet_table(spark, folder, "pages").select(
+    pages = given(spark, folder, "pages").select(
         F.lit("web").alias("database"), F.lit("pages").alias("table"), F.col("url").alias("column")
     )
-    parts = parquet_table(spark, folder, "part").select(
+    parts = given(spark, folder, "part").select(
         F.lit("lake").alias("database"), F.col("p_brand").alias("table"), F.regexp_replace("p_name", "^small ", "small_").alias("column")
     )
     return documents.unionByName(pages).unionByName(parts)

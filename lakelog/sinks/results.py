@@ -9,36 +9,88 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.operators.search import BRANCHES, Lake, Search, batches, numbered_matches, skipped_tables, summary_of
+from lakelog.operators.search import (
+    BRANCHES,
+    TABLE_NO,
+    Lake,
+    Search,
+    batches,
+    numbered_matches,
+    skipped_tables,
+    with_messages,
+)
 from lakelog.schemas import SKIPPED_TABLES
 from lakelog.sinks.storage import fresh_path
 
+_FAILURES = (PySparkException, Py4JJavaError)
 
-def _staged(spark: SparkSession, part: Lake, search: Search) -> DataFrame:
-    """Scan the tables of one part, once, into the shared folder."""
+# A task stages this share of the cap at first; a table whose hits sit in few tasks is read again without it.
+_TASK_SHARE = 64
+
+
+def _scan(spark: SparkSession, part: Lake, search: Search, per_task: int | None) -> DataFrame:
     path = fresh_path(spark, "matches")
-    rows = numbered_matches(spark, part, search)
+    rows = numbered_matches(spark, part, search, per_task)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def _counted(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Rows and highest row number per table: one row per table of a part."""
+    stats = rows.groupBy(TABLE_NO).agg(F.count("*").alias("n"), F.max("row_no").alias("top"))
+    return {row[TABLE_NO]: (row["n"], row["top"]) for row in stats.collect()}
+
+
+def _staged(spark: SparkSession, part: Lake, search: Search) -> tuple[DataFrame, dict[int, int]]:
+    """Scan the tables of a part into the shared folder; the rows and how many there are per table.
+
+    One scan settles a table when it found more rows than the cap, or when no task reached its quota, so that
+    nothing was left out. Only a table between the two, short of the cap with a full task, is scanned again.
+    """
+    if search.cap is None or search.order_by:
+        rows = _scan(spark, part, search, None)
+        return rows, {number: n for number, (n, _) in _counted(rows).items()}
+    quota = search.cap // _TASK_SHARE + 1
+    rows = _scan(spark, part, search, quota)
+    counts = _counted(rows)
+    short = [number for number, (n, top) in counts.items() if n <= search.cap and top + 1 >= quota]
+    if short:
+        names = list(part)
+        again = _scan(spark, {names[number]: part[names[number]] for number in short}, search, search.cap + 1)
+        renumbered = F.element_at(F.array(*[F.lit(number) for number in short]), F.col(TABLE_NO) + 1)
+        again = again.withColumn(TABLE_NO, renumbered)
+        counts.update(_counted(again))
+        rows = rows.where(~F.col(TABLE_NO).isin(short)).unionByName(again)
+    return rows, {number: n for number, (n, _) in counts.items()}
+
+
 def _staged_parts(
     spark: SparkSession, lake: Lake, search: Search, branches: int, broken: list[tuple[str, str, str]]
-) -> Iterator[tuple[Lake, DataFrame]]:
+) -> Iterator[tuple[Lake, DataFrame, dict[int, int]]]:
     """Parts with their staged rows. When a part fails, its tables are tried one by one and the bad ones noted."""
     for part in batches(lake, branches):
         try:
-            yield part, _staged(spark, part, search)
+            staged = _staged(spark, part, search)
+        except _FAILURES:
+            for name, df in part.items():
+                try:
+                    staged = _staged(spark, {name: df}, search)
+                except _FAILURES as error:
+                    broken.append((*name, str(error).splitlines()[0]))
+                    continue
+                yield {name: df}, *staged
             continue
-        except (PySparkException, Py4JJavaError):
-            pass
-        for name, df in part.items():
-            try:
-                rows = _staged(spark, {name: df}, search)
-            except (PySparkException, Py4JJavaError) as error:
-                broken.append((*name, str(error).splitlines()[0]))
-                continue
-            yield {name: df}, rows
+        yield part, *staged
+
+
+def _capped(rows: DataFrame, counts: dict[int, int], search: Search) -> DataFrame:
+    """Cut the tables over the cap to it; the others pass as they are."""
+    over = [number for number, n in counts.items() if search.cap is not None and n > search.cap]
+    kept = rows.where(~F.col(TABLE_NO).isin(over)) if over else rows
+    for number in over:
+        table = rows.where(F.col(TABLE_NO) == number)
+        kept = kept.unionByName((table.orderBy("row_no") if search.order_by else table).limit(search.cap))
+    return kept
 
 
 def write_search(
@@ -46,20 +98,20 @@ def write_search(
 ) -> str | None:
     """Search the lake and write ``matches``, ``summary`` and ``skipped``; the new folder, or None without a match.
 
-    Each table is scanned once: its matches are staged in the shared folder, and both the rows and the summary are
-    taken from there. ``skipped`` lists tables no term can match and tables that could not be read.
+    The matches are staged in the shared folder, and rows and summary are both taken from there. ``skipped`` lists
+    tables no term can match and tables that could not be read.
     """
     dest = f"{folder.rstrip('/')}/search_{run_ts:%Y%m%d_%H%M%S}"
     broken: list[tuple[str, str, str]] = []
     found = False
-    for part, rows in _staged_parts(spark, lake, search, branches, broken):
-        if rows.isEmpty():
+    for part, rows, counts in _staged_parts(spark, lake, search, branches, broken):
+        if not counts:
             continue
         found = True
-        kept = rows if search.cap is None else rows.where(F.col("row_no") < search.cap)
-        matches = kept.select("database", "table", "row_json").write.mode("append")
+        matches = _capped(rows, counts, search).select("database", "table", "row_json").write.mode("append")
         matches.partitionBy("database", "table").parquet(f"{dest}/matches")
-        summary = summary_of(spark, part, search, rows).coalesce(1)
+        counted = spark.createDataFrame(list(counts.items()), f"{TABLE_NO} int, n long")
+        summary = with_messages(spark, part, search, counted).coalesce(1)
         summary.write.mode("append").parquet(f"{dest}/summary")
     if not found:
         return None
