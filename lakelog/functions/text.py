@@ -48,7 +48,8 @@ def _json_string(text: Column) -> Column:
     literal = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
     tokens = F.regexp_extract_all(literal, F.lit(r"(\\u[0-9A-F]{4}|\\.|[^\\]+)"), F.lit(1))
     lowered = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\\u"), F.lower(t)).otherwise(t)), "")
-    return F.when(literal.contains("\\u"), lowered).otherwise(literal)
+    escaped = F.when(literal.contains("\\u"), lowered).otherwise(literal)
+    return F.replace(escaped, F.lit("\x7f"), F.lit("\\u007f"))
 
 
 def args_json(args: Column) -> Column:
