@@ -42,23 +42,34 @@ def status(error_class: Column, error_message: Column) -> Column:
     )
 
 
-def _json_string(text: Column) -> Column:
-    """A JSON string literal in ASCII, with lower-case hex escapes; ``null`` for null."""
-    in_list = F.to_json(F.array(text), {"writeNonAsciiCharacterAsCodePoint": "true"})
-    literal = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
-    tokens = F.regexp_extract_all(literal, F.lit(r"(\\u[0-9A-F]{4}|\\.|[^\\]+)"), F.lit(1))
-    lowered = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\\u"), F.lower(t)).otherwise(t)), "")
-    escaped = F.when(literal.contains("\\u"), lowered).otherwise(literal)
-    return F.replace(escaped, F.lit("\x7f"), F.lit("\\u007f"))
+def _lower_hex(json: Column) -> Column:
+    """The same JSON with its unicode escapes in lower-case hex.
+
+    Escaped backslashes are put aside as a character that JSON text cannot hold, so every ``\\u`` left is an escape.
+    No lambda: both branches stay in generated code, where the JSON they share is written once.
+    """
+    aside = F.lit("\x01")
+    text = F.replace(json, F.lit("\\\\"), aside)
+    for digit in "ABCDEF":
+        text = F.regexp_replace(text, r"(?<=\\u[0-9A-Fa-f]{0,3})" + digit, digit.lower())
+    return F.when(json.contains("\\u"), F.replace(text, aside, F.lit("\\\\"))).otherwise(json)
 
 
 def args_json(args: Column) -> Column:
-    """A string map as one JSON object with sorted keys; ``{}`` for null and for the empty map."""
-    pairs = F.transform(
-        F.array_sort(F.map_entries(args)),
-        lambda e: F.concat(_json_string(e["key"]), F.lit(": "), _json_string(e["value"])),
-    )
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), F.lit("{}"))
+    """A string map as one JSON object in ASCII with sorted keys, ``": "`` and ``", "`` between its parts.
+
+    ``{}`` for null and for the empty map. The entries are written by one ``to_json`` and the text around them is
+    then replaced. Inside a JSON string a quote always follows a backslash, so ``,"`` and ``{"`` only occur between
+    the parts.
+    """
+    options = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
+    given = F.coalesce(args, F.create_map().cast("map<string,string>"))
+    entries = F.to_json(F.sort_array(F.map_entries(given)), options)
+    pairs = F.replace(entries, F.lit('","value":'), F.lit('": '))
+    listed = F.replace(pairs, F.lit('},{"key":'), F.lit(", "))
+    opened = F.replace(listed, F.lit('[{"key":'), F.lit("{"))
+    whole = F.regexp_replace(F.rtrim(opened, F.lit("]")), r"\A\[\z", "{}")
+    return _lower_hex(F.replace(whole, F.lit("\x7f"), F.lit("\\u007f")))
 
 
 def display_name(name: Column, path: Column) -> Column:
@@ -103,12 +114,14 @@ def console_line(
 
 
 def iso_utc(ts: Column) -> Column:
-    """An instant as ISO 8601 in UTC whatever the session zone; no fraction when the microseconds are zero."""
-    local = F.convert_timezone(None, F.lit("UTC"), ts.cast("timestamp_ntz"))
-    whole = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(local, "SSSSSS")
-    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
-    return F.concat(whole, fraction, F.lit("+00:00"))
+    """An instant as ISO 8601 in UTC; no fraction when the microseconds are zero.
+
+    Counted from the epoch on zone-less time, so no session zone and none of its clock changes come into it.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    text = F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch).cast("string")
+    padded = F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+    return F.concat(F.translate(padded, " ", "T"), F.lit("+00:00"))
 
 
 def bad_characters(name: Column, pattern: str = BAD_CHARACTER) -> Column:

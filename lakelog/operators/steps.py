@@ -26,41 +26,29 @@ def step_events(facts: DataFrame, logger: str = LOGGER) -> DataFrame:
     ``facts``: pipeline_run_id, pipeline_name, child_index, step, started_at, duration_ms (null while open),
     error_class, error_message, attrs, metrics. Attributes stand on every record, metrics on the ok record only.
     """
-    failed = F.col("error_class").isNotNull()
+    twice = facts.withColumn(
+        "_exit", F.explode(F.array_compact(F.array(F.lit(False), F.when(F.col("duration_ms").isNotNull(), True))))
+    )
+    leaves, failed, step = F.col("_exit"), F.col("error_class").isNotNull(), F.col("step")
+    failure = leaves & failed
     finished = F.timestamp_micros(F.unix_micros("started_at") + F.col("duration_ms") * 1000)
-    step, none = F.col("step"), F.lit(None)
-    start = {
-        "ts": F.col("started_at"),
-        "level": F.lit("INFO"),
-        "msg": F.concat(F.lit("step start: "), step),
-        "phase": F.lit(START),
-        "duration_ms": none,
-        "error_class": none,
-        "error_message": none,
-        "metrics": none,
-    }
-    done = {
-        "ts": finished,
-        "level": F.when(failed, "ERROR").otherwise("INFO"),
-        "msg": F.when(failed, F.format_string("step failed: %s (%s)", step, F.col("error_class"))).otherwise(
-            F.format_string("step ok: %s (%dms)", step, F.col("duration_ms"))
-        ),
-        "phase": F.when(failed, STEP_FAILED).otherwise(STEP_OK),
-        "duration_ms": F.col("duration_ms"),
-        "error_class": F.col("error_class"),
-        "error_message": F.when(failed, truncate(F.coalesce("error_message", F.lit("")), MESSAGE_LIMIT)),
-        "metrics": F.when(~failed, F.col("metrics")),
+    values = {
+        "ts": F.when(leaves, finished).otherwise(F.col("started_at")),
+        "level": F.when(failure, "ERROR").otherwise("INFO"),
+        "logger": F.lit(logger),
+        "msg": F.when(~leaves, F.concat(F.lit("step start: "), step))
+        .when(failed, F.concat(F.lit("step failed: "), step, F.lit(" ("), F.col("error_class"), F.lit(")")))
+        .otherwise(F.concat(F.lit("step ok: "), step, F.lit(" ("), F.col("duration_ms").cast("string"), F.lit("ms)"))),
+        "phase": F.when(~leaves, START).when(failed, STEP_FAILED).otherwise(STEP_OK),
+        "duration_ms": F.when(leaves, F.col("duration_ms")),
+        "error_class": F.when(leaves, F.col("error_class")),
+        "error_message": F.when(failure, truncate(F.coalesce("error_message", F.lit("")), MESSAGE_LIMIT)),
+        "exc_info": F.lit(None),
+        "metrics": F.when(leaves & ~failed, F.col("metrics")),
     }
-    shared = {"logger": F.lit(logger), "exc_info": none}
-
-    def record(own: dict[str, Column]) -> Column:
-        values = {**shared, **own}
-        return F.struct(
-            *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in LOG_RECORDS.fields]
-        )
-
-    records = F.array(record(start), F.when(F.col("duration_ms").isNotNull(), record(done)))
-    return facts.select(F.explode(F.array_compact(records)).alias("r")).select("r.*")
+    return twice.select(
+        *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in LOG_RECORDS.fields]
+    )
 
 
 def with_run_id(records: DataFrame, run_id: str | None) -> DataFrame:

@@ -145,7 +145,8 @@ def test_truncate(spark):
 
 
 def test_args_json_is_byte_for_byte_the_same(spark):
-    cases = [None, {}, {"b": "2", "a": "1"}, {"k": 'q"\\/\n\t\x01\x1f\x7f'}, {"é": "😀 ü\\u00e9 \\", "Z": " "}, {"n": None}]
+    cases = [None, {}, {"b": "2", "a": "1"}, {"k": 'q"\\/\n\t\x01\x1f\x7f'}, {"é": "😀 ü\\u00e9 \\", "Z": " "}, {"n": None},
+             {'q","value":"x': '},{"key":"z"}]', "]": "]]", "\\": "\\\\u00EF \\é\\", "ÀÉABCDEF": "\x0bÜ\x0e￮𐏿"}]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, m map<string,string>")
     got = [r[0] for r in df.orderBy("i").select(text.args_json(F.col("m"))).collect()]
     assert got == [json.dumps(c or {}, sort_keys=True) for c in cases]

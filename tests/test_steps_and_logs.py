@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakelog.functions.text import iso_utc
 from lakelog.operators import logs, steps
 from lakelog.operators.slices import with_next, with_position
+from lakelog.plans.inputs import instant
 from lakelog.schemas import LOG_LINE_KEYS, LOG_RECORDS
 
 NOON = dt.datetime(2026, 5, 21, 12, 0, 0)
@@ -129,14 +130,23 @@ def test_line_has_fixed_order_and_no_nulls(spark):
     assert json.loads(line)["child_index"] == 0 and json.loads(line)["pipeline_name"] == ""
 
 
-def test_time_is_utc_in_every_session_zone(spark):
-    df = spark.sql("select timestamp_micros(1) as t")
+CLOCK_CHANGES = [1, 1704110400000000, 1710037800500000, 1710055800000000, 1730611800000000, 1730615400000000]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_time_is_utc_in_every_session_zone(spark, zone):
+    df = spark.createDataFrame([(m,) for m in CLOCK_CHANGES], "m long").select("m", F.timestamp_micros("m").alias("t"))
+    local = F.timestamp_add("MICROSECOND", F.col("m"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     try:
-        for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
-            spark.conf.set("spark.sql.session.timeZone", zone)
-            assert df.select(iso_utc(F.col("t"))).first()[0] == "1970-01-01T00:00:00.000001+00:00"
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        rows = df.select("m", iso_utc(F.col("t")).alias("iso"), F.unix_micros(instant(local)).alias("back")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    assert len(rows) == len(CLOCK_CHANGES)
+    for row in rows:
+        assert row["iso"] == (epoch + dt.timedelta(microseconds=row["m"])).isoformat()
+        assert row["back"] == row["m"]
 
 
 def test_round_trip_and_corrupt_lines(spark):
