@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.operators.search import Lake
+from lakelog.operators.search import Lake, union_all
 
 
 def table_counts(spark: SparkSession, lake: Lake) -> DataFrame:
@@ -13,7 +13,4 @@ def table_counts(spark: SparkSession, lake: Lake) -> DataFrame:
         df.agg(F.count("*").alias("rows")).select(F.lit(db).alias("database"), F.lit(table).alias("table"), "rows")
         for (db, table), df in lake.items()
     ]
-    counts = spark.createDataFrame([], "database string, table string, rows long")
-    for part in parts:
-        counts = counts.unionByName(part)
-    return counts
+    return union_all(spark, parts, "database string, table string, rows long")

@@ -102,11 +102,11 @@ def _row_json(rows: DataFrame) -> Column:
     return _json(F.struct(*[quoted(c) for c in rows.columns]))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame | None:
-    parts = list(parts)
+def union_all(spark: SparkSession, parts: list[DataFrame], columns: str) -> DataFrame:
+    """The parts as one DataFrame, joined pairwise; an empty one of these columns when there are none."""
     while len(parts) > 1:
         parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0] if parts else None
+    return parts[0] if parts else spark.createDataFrame([], columns)
 
 
 def _searched(lake: Lake, search: Search) -> dict[tuple[str, str], DataFrame]:
@@ -114,18 +114,16 @@ def _searched(lake: Lake, search: Search) -> dict[tuple[str, str], DataFrame]:
     return {name: rows for name, rows in matching.items() if rows is not None}
 
 
-def _empty(spark: SparkSession, columns: str) -> DataFrame:
-    return spark.createDataFrame([], columns)
-
-
 def search_lake(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
-    """Matching rows of every table as ``(database, table, row_json)``, capped per table."""
+    """Matching rows of every table as ``(database, table, row_json)``, capped per table.
+
+    One branch per table; a lake of more than ``BRANCHES`` tables is better taken in ``batches``.
+    """
     parts = [
         rows.select(F.lit(db).alias("database"), F.lit(table).alias("table"), _row_json(rows))
         for (db, table), rows in ((name, search.limited(rows)) for name, rows in _searched(lake, search).items())
     ]
-    found = _union(parts)
-    return _empty(spark, "database string, table string, row_json string") if found is None else found
+    return union_all(spark, parts, "database string, table string, row_json string")
 
 
 def with_messages(spark: SparkSession, lake: Lake, search: Search, counts: DataFrame) -> DataFrame:
@@ -168,9 +166,7 @@ def search_summary(spark: SparkSession, lake: Lake, search: Search) -> DataFrame
     parts = [
         rows.select(F.lit(numbers[name]).alias(TABLE_NO)) for name, rows in _searched(lake, search).items()
     ]
-    hits = _union(parts)
-    if hits is None:
-        hits = _empty(spark, f"{TABLE_NO} int")
+    hits = union_all(spark, parts, f"{TABLE_NO} int")
     return with_messages(spark, lake, search, hits.groupBy(TABLE_NO).agg(F.count("*").alias("n")))
 
 
@@ -219,7 +215,4 @@ def numbered_matches(spark: SparkSession, lake: Lake, search: Search, per_task:
                 "row_no",
             )
         )
-    found = _union(parts)
-    if found is None:
-        return _empty(spark, f"{TABLE_NO} int, database string, table string, row_json string, row_no long")
-    return found
+    return union_all(spark, parts, f"{TABLE_NO} int, database string, table string, row_json string, row_no long")
