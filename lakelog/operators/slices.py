@@ -78,6 +78,30 @@ def with_next(
     return joined.withColumn(out, F.coalesce(out, "_following")).drop(_SLICE, _HOT, "_following")
 
 
+def with_running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    slice_of: Column,
+    out: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The largest value from the start of the group to the row itself, in the group's order."""
+    rows = _sliced(df, keys, slice_of, hot_rows)
+    cell = [*keys, _SLICE]
+    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        rows.where(_HOT)
+        .groupBy(*cell)
+        .agg(F.max(value).alias("_top"))
+        .select(*cell, F.max("_top").over(earlier).alias("_before"))
+    )
+    inside = F.max(value).over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn(out, inside).join(before, cell, "left")
+    return joined.withColumn(out, F.greatest(out, "_before")).drop(_SLICE, _HOT, "_before")
+
+
 def child_slice(child_index: Column, bits: int) -> Column:
     """The slice of a child inside its run: 2**bits neighbours share one."""
     return F.shiftright(child_index, bits)

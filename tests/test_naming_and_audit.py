@@ -44,13 +44,14 @@ def test_choices_of_one_group_are_names_of_another(spark):
 def test_cut_names_compete_for_the_same_choices(spark):
     stem = "p" * 29
     check(spark, [stem + tail for tail in ("aa", "ab", "aa", "ab", "ac", "ac", "aa", "_1", "_1")])
+    check(spark, [f"http://www.example.com/some/path/{i % 70}/x" for i in range(300)])
 
 
 def test_large_group_is_numbered_in_slices(spark):
     check(spark, ["same"] * 50 + ["other", "same_3"] * 3, hot_rows=10)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(names=st.lists(st.sampled_from(["a", "a_1", "a_2", "a_1_1", "b", "summary", "summary_1", ""]), max_size=14))
 def test_any_order_of_competing_names(spark, names):
     check(spark, names)
