@@ -10,10 +10,14 @@ import json
 import os
 import tempfile
 import time
+from datetime import datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from lakelog.plans.catalogue import QUERIES
+from lakelog.schemas import RUNLOG
+from lakelog.sinks.tables import append_rows, ensure_log_table
 
 HEADLINE = [
     "scan_lake_counts",
@@ -71,6 +75,18 @@ def main() -> None:
     for name in HEADLINE:
         run(name)
         seconds[name] = round(run(name), 3)
+
+    # Two rows in one commit: the one write the baseline gives a time for.
+    values = ["r", "p", 0, "/n", "ok", datetime(2024, 1, 1), datetime(2024, 1, 1), 0, "", "{}", "", "", "", "", None]
+    rows = spark.createDataFrame([tuple(values), tuple([*values[:2], 1, *values[3:]])], StructType(
+        [StructField(f.name, f.dataType, True) for f in RUNLOG.fields]
+    ))
+    ensure_log_table(spark, "bench.runlog")
+    for _ in range(2):
+        start = time.perf_counter()
+        append_rows(rows, "bench.runlog")
+        seconds["append_two_rows"] = round(time.perf_counter() - start, 3)
+    spark.stop()
     spark.stop()
     print(
         json.dumps(

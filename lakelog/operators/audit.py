@@ -8,10 +8,12 @@ from lakelog.functions.text import BAD_CHARACTER, bad_characters
 
 
 def dirty_columns(columns: DataFrame, pattern: str = BAD_CHARACTER) -> DataFrame:
-    """Names with at least one bad character, from a ``(database, table, column, ...)`` listing."""
-    return columns.select("database", "table", "column", bad_characters(F.col("column"), pattern).alias("bad_chars")).where(
-        F.col("bad_chars") != ""
-    )
+    """Names with at least one bad character, from a ``(database, table, column, ...)`` listing.
+
+    The test stops at the first bad character; a filter on the collected characters would collect them twice.
+    """
+    dirty = columns.where(F.col("column").rlike(pattern))
+    return dirty.select("database", "table", "column", bad_characters(F.col("column"), pattern).alias("bad_chars"))
 
 
 def dirty_report(dirty: DataFrame) -> DataFrame:
