@@ -309,8 +309,8 @@ def lookup(keys: DataFrame, index: Index) -> DataFrame:
 
     wanted = keys.select("key").filter("key is not null").distinct()
     wanted = wanted.withColumn("part", part_of("key")) if len(firsts) else wanted.limit(0).withColumn("part", F.lit(0))
-    # Keys of one part stay together in order; parts that no task reads whole are no burden, they hold PART captures.
-    dealt = wanted.repartition("part").sortWithinPartitions("part", "key")
+    # A fixed number of partitions: a key is few bytes but a record to read, so sizes say little about the work.
+    dealt = wanted.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "key")
     names = [f.split()[0] for f in RECORDS.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
