@@ -22,12 +22,14 @@ def empty_like(spark: SparkSession, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(
+    batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS, rows: int = SLICE_ROWS
+) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows whose texts together stay small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = size = 0
     for i, length in enumerate(lengths):
-        if i > start and (size + length > SLICE_CHARS or i - start >= SLICE_ROWS):
+        if i > start and (size + length > chars or i - start >= rows):
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += length
