@@ -92,6 +92,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of the shingles of a list of words, or of all words if they are fewer than a shingle."""
+    from xxhash import xxh64_intdigest
+
+    size = max(1, min(SHINGLE, len(words)))
+    ends = range(size, len(words) + 1)
+    return np.array([xxh64_intdigest(b" ".join(words[e - size : e]), 0) for e in ends], np.uint64)
+
+
+def edited_hashes(text: str, own: np.ndarray, following: str, others: np.ndarray) -> np.ndarray:
+    """Shingle hashes of the edited text, from those of the two texts.
+
+    Only shingles around the seam and the last one, whose word may be cut, are hashed anew.
+    """
+    half = len(text) // 2
+    kept, taken = text[: len(text) - half].encode().lower(), following[:half].encode().lower()
+    before, after = kept.split(), taken.split()
+    whole, rest = max(0, len(before) - 1), len(after)  # of the kept words all but the last are surely uncut
+    seam = [*before, *after]
+    if before and after and kept[-1:].split() and taken[:1].split():
+        seam = [*before[:-1], before[-1] + after[0], *after[1:]]
+    if whole < SHINGLE and rest < SHINGLE + 2:
+        return _hashed(seam)
+    first = max(0, whole - SHINGLE + 1)  # the first shingle that is not one of the own
+    if rest < SHINGLE + 2:
+        return np.concatenate([own[:first], _hashed(seam[first:])])
+    at = len(seam) - rest  # the place of the first word taken
+    middle = _hashed(seam[first : at + SHINGLE])
+    return np.concatenate([own[:first], middle, others[1 : rest - SHINGLE], _hashed(after[-SHINGLE:])])
+
+
 def _ranges(docs: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]:
     """Bounds that cut the ids into ranges, and per id that leads a range the ranges that need it as their successor.
 
@@ -148,7 +179,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        before = None  # place, doc_id, text and fingerprint of a row that still waits for the next
+        before = None  # place, doc_id, text, hashes and fingerprint of a row that still waits for the next
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
@@ -156,15 +187,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True)):
                     if borrowed[i] and (before is None or before[0] != place[i]):
                         continue  # the row that needed it has it already
-                    prints = fingerprint(text)
+                    hashes = shingle_hashes(text, SHINGLE, 0)
+                    prints = packed(bins_of(hashes))
                     if before is not None and before[0] == place[i]:
-                        new = edited(before[2], text)
-                        other = fingerprint(new)
-                        out.append((
-                            before[1], len(before[2]), hashlib.sha256(new.encode()).hexdigest(), before[3], other,
-                            likeness(before[3], other), likeness(before[3], prints),
-                        ))
-                    before = None if borrowed[i] else (place[i], doc_id, text, prints)
+                        _, waiting, old, own, print_ = before
+                        changed = hashlib.sha256(edited(old, text).encode()).hexdigest()
+                        other = packed(bins_of(edited_hashes(old, own, text, hashes)))
+                        near = likeness(print_, other), likeness(print_, prints)
+                        out.append((waiting, len(old), changed, print_, other, *near))
+                    before = None if borrowed[i] else (place[i], doc_id, text, hashes, prints)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=names)  # noqa: B905
 
