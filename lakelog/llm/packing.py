@@ -16,12 +16,14 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakelog.llm.pieces import Memory, cut
+from lakelog.llm.pieces import LONGEST, Memory, cut
 from lakelog.llm.rows import map_texts
 from lakelog.sinks.storage import checkpointed
 
@@ -191,30 +193,64 @@ def lower_bound_quick(counts: dict[int, int], capacity: int) -> int:
 # ------------------------------------------------------------------ the pieces
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's ids with id 0 behind them, cut into pieces of ``capacity`` of which the first may be shorter."""
+class _Encoder:
+    """Texts to little-endian ids with an end token, remembering what pieces of text encode to."""
 
-    def make():
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        memory = Memory()
+        self.model = Tokenizer.from_file(path)
+        self.memory = Memory(lambda piece: self._alone([" " + piece])[0])
+        # Bytes of each token: a byte-level vocabulary writes a byte as one character.
+        vocabulary = self.model.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces in one text, which is cut again by the bytes of its tokens.
+
+        A piece that does not end in white space is a place no token crosses; the others are encoded when met.
+        """
+        solid = [p for p in pieces if p and not p[-1].isspace() and len(p) <= LONGEST]
+        if not solid:
+            return
+        ids = np.frombuffer(self._alone([" " + " ".join(solid)])[0], "<u4")
+        reach = np.cumsum(self.sizes[ids])
+        ends = np.cumsum([len(p.encode()) + 1 for p in solid])
+        cuts = np.searchsorted(reach, ends) + 1
+        raw, begin = ids.tobytes(), 0
+        for piece, end in zip(solid, (4 * cuts).tolist(), strict=True):
+            self.memory.keep(piece, raw[begin:end])
+            begin = end
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        cuts = [cut(t) for t in texts]
+        self._learn(self.memory.lacking(chain.from_iterable(pieces[1:] for pieces in cuts)))
+        for pieces, first in zip(cuts, self._alone([pieces[0] for pieces in cuts]), strict=True):
+            yield b"".join([first, *map(self.memory.__getitem__, pieces[1:]), b"\0\0\0\0"])
 
-        def encoded(texts: list[str]) -> list[bytes]:
-            return [
-                np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)
-            ]
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for a worker process, whose tasks share its memory."""
+    return _Encoder(path)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """Every document's ids with id 0 behind them, cut into pieces of ``capacity`` of which the first may be shorter."""
+
+    def make():
+        encoder = _encoder(tokenizer)
 
         def run(part: pa.RecordBatch) -> dict:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            cuts = [cut(t or "") for t in part.column("text").to_pylist()]
-            lacking = memory.lacking({p for pieces in cuts for p in pieces[1:]})
-            fresh = dict(zip(lacking, encoded([" " + p for p in lacking]), strict=True))
-            firsts = encoded([pieces[0] for pieces in cuts])
-            memory.function = fresh.__getitem__
-            for doc_id, pieces, first in zip(part.column("doc_id").to_pylist(), cuts, firsts, strict=True):
-                ids = b"".join([first, *map(memory.__getitem__, pieces[1:]), b"\0\0\0\0"])
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % capacity or capacity if start == 0 else capacity

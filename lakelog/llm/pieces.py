@@ -14,7 +14,7 @@ _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
 #: Entries of one generation of the memory, and the longest piece that is remembered.
-MEMORY = 250_000
+MEMORY = 400_000
 LONGEST = 48
 
 
@@ -44,5 +44,5 @@ class Memory(dict):
             self.clear()
         self[key] = value
 
-    def lacking(self, keys: Iterable[str]) -> list[str]:
-        return [k for k in keys if k not in self and k not in self.older]
+    def lacking(self, keys: Iterable[str]) -> set[str]:
+        return set(keys).difference(self).difference(self.older)
