@@ -106,6 +106,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> Codec:
+    """One for a worker process, whose tasks share its memory."""
+    return Codec(path, pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """Encode every whole text, then decode its ids.
 
@@ -115,7 +121,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     """
 
     def make():
-        codec = Codec(path, pattern)
+        codec = _codec(path, pattern)
 
         def run(part: pa.RecordBatch) -> dict:
             encoded = [codec.encode(t) for t in texts_of(part)]
