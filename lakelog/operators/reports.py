@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakelog.operators.slices import SLICE_BITS, join_run_facts
 from lakelog.schemas import CHILD_KEY, RUN_KEY
 
 
@@ -47,9 +46,9 @@ def latest_runs(runlog: DataFrame, pipeline_name: str | None = None, runs: int =
     return run_summary(runlog, pipeline_name).orderBy(F.desc("run_start"), RUN_KEY).limit(runs)
 
 
-def with_activity(runlog: DataFrame, activity: DataFrame, slice_bits: int = SLICE_BITS) -> DataFrame:
+def with_activity(runlog: DataFrame, activity: DataFrame) -> DataFrame:
     """Run-log rows with the scheduler's record of their run (one record per run id); runs known to both sides."""
-    return join_run_facts(runlog, activity, "inner", slice_bits)
+    return runlog.join(activity, RUN_KEY)
 
 
 def _step_totals(spans: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -60,13 +59,13 @@ def _step_totals(spans: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     )
 
 
-def with_steps(runlog: DataFrame, spans: DataFrame, slice_bits: int = SLICE_BITS) -> DataFrame:
+def with_steps(runlog: DataFrame, spans: DataFrame) -> DataFrame:
     """Every run-log row with the totals of its own steps and of its run's steps that name no child.
 
-    The steps are added up before the join. Joining them one by one would repeat every run-level step on every
+    AQE splits the rows of a run that is far larger than others. The steps are added up before the join. Joining them one by one would repeat every run-level step on every
     child of the run.
     """
     own = _step_totals(spans.where(F.col("child_index").isNotNull()), CHILD_KEY, "child")
     shared = _step_totals(spans.where(F.col("child_index").isNull()), [RUN_KEY], "run")
-    joined = join_run_facts(runlog.join(own, CHILD_KEY, "left"), shared, "left", slice_bits)
+    joined = runlog.join(own, CHILD_KEY, "left").join(shared, RUN_KEY, "left")
     return joined.fillna(0, [c for c in joined.columns if c.startswith(("child_step", "run_step"))])

@@ -19,26 +19,22 @@ from lakelog.schemas import SKIPPED_TABLES
 
 Lake = Mapping[tuple[str, str], DataFrame]
 
-# The default row cap per table and the default ingestion column.
-ROW_CAP = 1_000_000
+# Fixed value: the default ingestion column.
 INGESTED_COL = "ingested_at"
 
-# Tables per union: bounds the size of one plan. A larger lake is searched in several jobs.
+# Tables per union of ``batches``: bounds the size of one plan.
 BRANCHES = 64
 
 TABLE_NO = "table_no"
 
-# The low bits of a generated id count rows inside a task; the high bits number the task.
-_TASK_MASK = (1 << 33) - 1
-
 
 @dataclass(frozen=True)
 class Search:
     """What to look for.
 
-    ``cap`` keeps at most that many rows per table; None keeps all. A capped table passes its surviving rows (never
-    more than the cap) through one task, as any ``limit`` does, so use None for full exports. Which rows survive is
-    arbitrary unless ``order_by`` names columns.
+    All matching rows are kept unless ``cap`` asks for at most that many per table. A capped table passes its surviving
+    rows (never more than the cap) through one task, as any ``limit`` does. Which rows survive is arbitrary unless
+    ``order_by`` names columns.
     """
 
     words: tuple[str, ...]
@@ -47,7 +43,7 @@ class Search:
     ingested_col: str = INGESTED_COL
     date_range: tuple[str, str] = ("", "")
     project_matched_only: bool = False
-    cap: int | None = ROW_CAP
+    cap: int | None = None
     order_by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
@@ -115,19 +111,18 @@ def _searched(lake: Lake, search: Search) -> dict[tuple[str, str], DataFrame]:
 
 
 def search_lake(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
-    """Matching rows of every table as ``(database, table, row_json)``, capped per table.
+    """Matching rows of every table as ``(database, table, row_json)``, all of them unless the search has a cap.
 
     One branch per table; a lake of more than ``BRANCHES`` tables is better taken in ``batches``.
     """
     parts = [
-        rows.select(F.lit(db).alias("database"), F.lit(table).alias("table"), _row_json(rows))
-        for (db, table), rows in ((name, search.limited(rows)) for name, rows in _searched(lake, search).items())
+        table_matches(name, search.limited(rows)) for name, rows in _searched(lake, search).items()
     ]
     return union_all(spark, parts, "database string, table string, row_json string")
 
 
 def with_messages(spark: SparkSession, lake: Lake, search: Search, counts: DataFrame) -> DataFrame:
-    """Turn ``(table_no, n)`` into summary rows. The broadcast side has one row per table of the lake."""
+    """Turn ``(table_no, count, kept, truncated, more)`` into summary rows; ``more``: the count is a lower bound."""
     facts = []
     for number, ((db, table), df) in enumerate(lake.items()):
         columns = search.columns(df)
@@ -135,29 +130,18 @@ def with_messages(spark: SparkSession, lake: Lake, search: Search, counts: DataF
             (number, db, table, ", ".join(columns), f" rows matched {search.cond} {list(search.words)} in {columns}")
         )
     about = spark.createDataFrame(facts, f"{TABLE_NO} int, database string, table string, matched_columns string, tail string")
-    truncated = F.lit(False) if search.cap is None else F.col("n") > search.cap
-    count = F.col("n") if search.cap is None else F.least("n", F.lit(search.cap).cast("long"))
-    return (
-        counts.join(F.broadcast(about), TABLE_NO)
-        .select("database", "table", "matched_columns", count.alias("count"), truncated.alias("truncated"), "tail")
-        .select(
-            "database",
-            "table",
-            "matched_columns",
-            "count",
-            "truncated",
-            F.concat(
-                F.col("count").cast("string"),
-                F.when(F.col("truncated"), "+").otherwise(""),
-                "tail",
-                F.when(F.col("truncated"), " (truncated)").otherwise(""),
-            ).alias("message"),
-        )
+    message = F.concat(
+        F.col("count").cast("string"),
+        F.when(F.col("more"), "+").otherwise(""),
+        "tail",
+        F.when(F.col("truncated"), " (truncated)").otherwise(""),
     )
+    named = counts.join(about, TABLE_NO)
+    return named.select("database", "table", "matched_columns", "count", "kept", "truncated", message.alias("message"))
 
 
 def search_summary(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
-    """One row per table that matched: count up to the cap, whether the cap cut it, and a message.
+    """One row per table that matched: all its matches counted, how many a cap keeps, and a message.
 
     Counts the matches where they are read and shuffles one number per table and task; the cap is arithmetic on the
     count, so no rows are moved to apply it.
@@ -167,7 +151,10 @@ def search_summary(spark: SparkSession, lake: Lake, search: Search) -> DataFrame
         rows.select(F.lit(numbers[name]).alias(TABLE_NO)) for name, rows in _searched(lake, search).items()
     ]
     hits = union_all(spark, parts, f"{TABLE_NO} int")
-    return with_messages(spark, lake, search, hits.groupBy(TABLE_NO).agg(F.count("*").alias("n")))
+    counts = hits.groupBy(TABLE_NO).agg(F.count("*").alias("count"))
+    kept = F.col("count") if search.cap is None else F.least("count", F.lit(search.cap).cast("long"))
+    counts = counts.select("*", kept.alias("kept"), F.lit(False).alias("more"))
+    return with_messages(spark, lake, search, counts.withColumn("truncated", F.col("kept") < F.col("count")))
 
 
 def matched_columns(spark: SparkSession, lake: Lake, search: Search) -> DataFrame:
@@ -191,28 +178,6 @@ def batches(lake: Lake, size: int = BRANCHES) -> Iterator[Lake]:
         yield {name: lake[name] for name in part}
 
 
-def numbered_matches(spark: SparkSession, lake: Lake, search: Search, per_task: int | None = None) -> DataFrame:
-    """Matching rows as ``(table number, database, table, row_json, row_no)``, at most ``per_task`` of each task.
-
-    ``row_no`` counts the matches of one task from 0. A limit would send what every task found to a single task; a
-    quota per task moves nothing. Under ``order_by`` the first ``cap + 1`` rows are taken instead.
-    """
-    numbers = {name: i for i, name in enumerate(lake)}
-    parts = []
-    for (db, table), rows in _searched(lake, search).items():
-        if search.order_by:
-            rows = search.limited(rows, extra=1)
-        place = F.monotonically_increasing_id().bitwiseAND(F.lit(_TASK_MASK))
-        placed = rows.select(F.struct(*[quoted(c) for c in rows.columns]).alias("r"), place.alias("row_no"))
-        if per_task is not None and not search.order_by:
-            placed = placed.where(F.col("row_no") < per_task)
-        parts.append(
-            placed.select(
-                F.lit(numbers[db, table]).alias(TABLE_NO),
-                F.lit(db).alias("database"),
-                F.lit(table).alias("table"),
-                _json(F.col("r")),
-                "row_no",
-            )
-        )
-    return union_all(spark, parts, f"{TABLE_NO} int, database string, table string, row_json string, row_no long")
+def table_matches(name: tuple[str, str], rows: DataFrame) -> DataFrame:
+    """Matching rows of one table as ``(database, table, row_json)``."""
+    return rows.select(F.lit(name[0]).alias("database"), F.lit(name[1]).alias("table"), _row_json(rows))

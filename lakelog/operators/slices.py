@@ -117,10 +117,3 @@ def join_run_slices(children: DataFrame, spread: DataFrame, how: str, bits: int)
     """Join children to spread per-run rows on (run, slice), so no task gets more than 2**bits children per key."""
     sliced = children.withColumn(_SLICE, child_slice(F.col("child_index"), bits))
     return sliced.join(spread, [RUN_KEY, _SLICE], how).drop(_SLICE)
-
-
-def join_run_facts(children: DataFrame, facts: DataFrame, how: str, bits: int = SLICE_BITS) -> DataFrame:
-    """Join many children to one row per run without sending a whole run to one task."""
-    ends = children.groupBy(RUN_KEY).agg(F.max("child_index").alias("_last"))
-    spread = spread_over_children(facts.join(ends, RUN_KEY), F.lit(0).cast("long"), F.col("_last"), bits).drop("_last")
-    return join_run_slices(children, spread, how, bits)

@@ -194,9 +194,7 @@ def runlog_stage(spark: SparkSession, folder: str) -> DataFrame:
     shuffled = rows.select(*sorted(rows.columns))
     texts = shuffled.withColumns({c: text.iso_utc(F.col(c)) for c in ("started_at", "finished_at")})
     staged = runlog.stage(texts)
-    return _micros(staged.drop("audited_at")).join(
-        staged.select(*CHILD_KEY, F.col("audited_at").isNotNull().alias("stamped")), CHILD_KEY
-    )
+    return _micros(staged.withColumn("stamped", F.col("audited_at").isNotNull()).drop("audited_at"))
 
 
 @query(INPUT_SQL + f"select {_LOG_COLUMNS}, true as stamped from log")

@@ -304,13 +304,13 @@ def search_cap(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""with c(t, cols) as (values {_COLUMN_ROWS}), h as (select "table" as t, count(*) as n
       from ({_sql_hits(_MIXED)}) group by 1)
-    select 'lake' as database, c.t as "table", c.cols as matched_columns, least(n, 1000) as count, n > 1000 as truncated,
-      concat(least(n, 1000), case when n > 1000 then '+' else '' end, ' rows matched OR [''42'', ''2024-01-15''] in [''',
-        replace(c.cols, ', ', ''', '''), ''']', case when n > 1000 then ' (truncated)' else '' end) as message
+    select 'lake' as database, c.t as "table", c.cols as matched_columns, n as count, n as kept, false as truncated,
+      concat(n, ' rows matched OR [''42'', ''2024-01-15''] in [''',
+        replace(c.cols, ', ', ''', '''), ''']') as message
     from c join h on h.t = c.t"""
 )
 def search_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summarise(spark, given_lake(spark, folder), Search(tuple(_MIXED), cap=1000))
+    return summarise(spark, given_lake(spark, folder), Search(tuple(_MIXED)))
 
 
 @query(

@@ -3,118 +3,69 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.operators.search import (
-    BRANCHES,
-    TABLE_NO,
-    Lake,
-    Search,
-    batches,
-    numbered_matches,
-    skipped_tables,
-    with_messages,
-)
+from lakelog.operators.search import TABLE_NO, Lake, Search, skipped_tables, table_matches, with_messages
 from lakelog.schemas import SKIPPED_TABLES
 from lakelog.sinks.storage import fresh_path
 
 _FAILURES = (PySparkException, Py4JJavaError)
+_MATCHES = "row_json string, database string, table string"
 
-# A task stages this share of the cap at first; a table whose hits sit in few tasks is read again without it.
-_TASK_SHARE = 64
 
-
-def _scan(spark: SparkSession, part: Lake, search: Search, per_task: int | None) -> DataFrame:
-    path = fresh_path(spark, "matches")
-    rows = numbered_matches(spark, part, search, per_task)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def _counted(rows: DataFrame) -> dict[int, tuple[int, int]]:
-    """Rows and highest row number per table: one row per table of a part."""
-    stats = rows.groupBy(TABLE_NO).agg(F.count("*").alias("n"), F.max("row_no").alias("top"))
-    return {row[TABLE_NO]: (row["n"], row["top"]) for row in stats.collect()}
-
-
-def _staged(spark: SparkSession, part: Lake, search: Search) -> tuple[DataFrame, dict[int, int]]:
-    """Scan the tables of a part into the shared folder; the rows and how many there are per table.
-
-    One scan settles a table when it found more rows than the cap, or when no task reached its quota, so that
-    nothing was left out. Only a table between the two, short of the cap with a full task, is scanned again.
-    """
-    if search.cap is None or search.order_by:
-        rows = _scan(spark, part, search, None)
-        return rows, {number: n for number, (n, _) in _counted(rows).items()}
-    quota = search.cap // _TASK_SHARE + 1
-    rows = _scan(spark, part, search, quota)
-    counts = _counted(rows)
-    short = [number for number, (n, top) in counts.items() if n <= search.cap and top + 1 >= quota]
-    if short:
-        names = list(part)
-        again = _scan(spark, {names[number]: part[names[number]] for number in short}, search, search.cap + 1)
-        renumbered = F.element_at(F.array(*[F.lit(number) for number in short]), F.col(TABLE_NO) + 1)
-        again = again.withColumn(TABLE_NO, renumbered)
-        counts.update(_counted(again))
-        rows = rows.where(~F.col(TABLE_NO).isin(short)).unionByName(again)
-    return rows, {number: n for number, (n, _) in counts.items()}
-
-
-def _staged_parts(
-    spark: SparkSession, lake: Lake, search: Search, branches: int, broken: list[tuple[str, str, str]]
-) -> Iterator[tuple[Lake, DataFrame, dict[int, int]]]:
-    """Parts with their staged rows. When a part fails, its tables are tried one by one and the bad ones noted."""
-    for part in batches(lake, branches):
-        try:
-            staged = _staged(spark, part, search)
-        except _FAILURES:
-            for name, df in part.items():
-                try:
-                    staged = _staged(spark, {name: df}, search)
-                except _FAILURES as error:
-                    broken.append((*name, str(error).splitlines()[0]))
-                    continue
-                yield {name: df}, *staged
-            continue
-        yield part, *staged
-
-
-def _capped(rows: DataFrame, counts: dict[int, int], search: Search) -> DataFrame:
-    """Cut the tables over the cap to it; the others pass as they are."""
-    over = [number for number, n in counts.items() if search.cap is not None and n > search.cap]
-    kept = rows.where(~F.col(TABLE_NO).isin(over)) if over else rows
-    for number in over:
-        table = rows.where(F.col(TABLE_NO) == number)
-        kept = kept.unionByName((table.orderBy("row_no") if search.order_by else table).limit(search.cap))
-    return kept
+def _write_table(spark: SparkSession, name: tuple[str, str], df: DataFrame, search: Search, path: str) -> bool:
+    """Write the matches of one table, read once; whether a cap cut them."""
+    rows = search.matching(df)
+    if rows is None:
+        return False
+    kept, cut = table_matches(name, search.limited(rows, extra=1)), False
+    if search.cap is not None:  # one row beyond the cap tells whether there are more; these few rows are one partition
+        staged = fresh_path(spark, "capped")
+        kept.coalesce(1).withColumn("row_no", F.monotonically_increasing_id()).write.parquet(staged)
+        numbered = spark.read.schema(f"{_MATCHES}, row_no long").parquet(staged)
+        cut = not numbered.where(F.col("row_no") >= search.cap).isEmpty()
+        kept = numbered.where(F.col("row_no") < search.cap).drop("row_no")
+    kept.write.mode("overwrite").partitionBy("database", "table").parquet(path)
+    return cut
 
 
 def write_search(
-    spark: SparkSession, lake: Lake, search: Search, folder: str, run_ts: dt.datetime, branches: int = BRANCHES
+    spark: SparkSession, lake: Lake, search: Search, folder: str, run_ts: dt.datetime, jobs: int = 8
 ) -> str | None:
-    """Search the lake and write ``matches``, ``summary`` and ``skipped``; the new folder, or None without a match.
+    """Search the lake and write ``matches``, ``summary`` and ``skipped`` to a new folder of its own.
 
-    The matches are staged in the shared folder, and rows and summary are both taken from there. ``skipped`` lists
-    tables no term can match and tables that could not be read.
+    Every table is read and written by one job, ``jobs`` of them side by side. ``skipped`` lists tables no term can
+    match and tables that could not be read. Returns the folder, or None if nothing matched and nothing failed.
     """
-    dest = f"{folder.rstrip('/')}/search_{run_ts:%Y%m%d_%H%M%S}"
-    broken: list[tuple[str, str, str]] = []
-    found = False
-    for part, rows, counts in _staged_parts(spark, lake, search, branches, broken):
-        if not counts:
-            continue
-        found = True
-        matches = _capped(rows, counts, search).select("database", "table", "row_json").write.mode("append")
-        matches.partitionBy("database", "table").parquet(f"{dest}/matches")
-        counted = spark.createDataFrame(list(counts.items()), f"{TABLE_NO} int, n long")
-        summary = with_messages(spark, part, search, counted).coalesce(1)
-        summary.write.mode("append").parquet(f"{dest}/summary")
-    if not found:
+    dest = f"{folder.rstrip('/')}/search_{run_ts:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
+
+    def one(number: int, name: tuple[str, str]) -> tuple[bool, str | None]:
+        try:
+            return _write_table(spark, name, lake[name], search, f"{dest}/matches/{TABLE_NO}={number}"), None
+        except _FAILURES as error:
+            return False, str(error).splitlines()[0]
+
+    with ThreadPoolExecutor(jobs) as pool:
+        outcomes = list(pool.map(one, range(len(lake)), lake))
+    broken = [(*name, error) for name, (_, error) in zip(lake, outcomes, strict=True) if error is not None]
+    tried = enumerate(zip(lake.values(), outcomes, strict=True))
+    fine = [number for number, (df, (_, error)) in tried if error is None and search.predicate(df) is not None]
+    counts = {}
+    if fine:
+        paths = [f"{dest}/matches/{TABLE_NO}={number}" for number in fine]
+        schema = f"{_MATCHES}, {TABLE_NO} int"
+        stored = spark.read.schema(schema).option("basePath", f"{dest}/matches").parquet(*paths)
+        counts = {r[TABLE_NO]: r["n"] for r in stored.groupBy(TABLE_NO).agg(F.count("*").alias("n")).collect()}
+    if not counts and not broken:
         return None
+    facts = [(number, n, n, outcomes[number][0], outcomes[number][0]) for number, n in counts.items()]
+    counted = spark.createDataFrame(facts, f"{TABLE_NO} int, count long, kept long, truncated boolean, more boolean")
+    with_messages(spark, lake, search, counted).coalesce(1).write.parquet(f"{dest}/summary")
     skipped = skipped_tables(spark, lake, search).unionByName(spark.createDataFrame(broken, SKIPPED_TABLES))
-    skipped.coalesce(1).write.mode("append").parquet(f"{dest}/skipped")
+    skipped.coalesce(1).write.parquet(f"{dest}/skipped")
     return dest

@@ -22,16 +22,18 @@ def ensure_log_table(spark: SparkSession, table: str, fmt: str = FORMAT, path: s
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
-def append_rows(rows: DataFrame, table: str, fmt: str = FORMAT, write: bool = True) -> DataFrame:
-    """Append a batch in one commit, columns by name; returns the rows that are written.
+def append_rows(rows: DataFrame, table: str, fmt: str = FORMAT, write: bool = True) -> DataFrame | None:
+    """Append a batch in one commit, columns by name; an empty batch commits nothing.
 
     ISO time strings are read as timestamps, ``audited_at`` is stamped, and a null in any column fails the job
-    before the commit. ``write=False`` is the dry run.
+    before the commit. ``write=False`` is the dry run: it returns the rows as they would be written.
     """
     staged = require_not_null(stage(rows))
-    if write:
+    if not write:
+        return staged
+    if not rows.isEmpty():
         staged.write.format(fmt).mode("append").saveAsTable(table)
-    return staged
+    return None
 
 
 def append_new_rows(rows: DataFrame, table: str, fmt: str = FORMAT) -> None:

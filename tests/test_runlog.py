@@ -266,8 +266,10 @@ def test_append_by_name_with_stamp(spark, table):
     assert [r["child_index"] for r in rows] == [0, 1]
     assert rows[0]["notebook_path"] == "/n/x" and rows[0]["finished_at"] == dt.datetime(2026, 5, 21, 12, 0, 1, 830000)
     assert all(r["audited_at"] is not None for r in rows)
+    files = spark.table(table).inputFiles()
     append_rows(staged(spark, {}).limit(0), table)
-    assert spark.table(table).count() == 2
+    spark.catalog.refreshTable(table)
+    assert sorted(spark.table(table).inputFiles()) == sorted(files) and spark.table(table).count() == 2
 
 
 def test_dry_run_writes_nothing(spark, table):

@@ -60,8 +60,8 @@ def test_summary_counts_and_message(spark, lake):
     assert rows["people"]["message"] == "2 rows matched OR ['ann', '3'] in ['id', 'name']"
     assert rows["people"]["matched_columns"] == "id, name"
     many = rows["numbers"]
-    assert (many["count"], many["truncated"]) == (10, True)
-    assert many["message"] == "10+ rows matched OR ['ann', '3'] in ['id', 'n'] (truncated)"
+    assert (many["count"], many["kept"], many["truncated"]) == (20, 10, True)
+    assert many["message"] == "20 rows matched OR ['ann', '3'] in ['id', 'n'] (truncated)"
 
 
 def test_cap_at_the_exact_count_is_no_truncation(spark, lake):
@@ -104,8 +104,8 @@ def written(spark, dest):
 
 @pytest.mark.parametrize("cap, numbers", [(None, 20), (100, 20), (20, 20), (19, 19), (1, 1)])
 def test_written_rows_agree_with_the_summary(spark, lake, tmp_path, cap, numbers):
-    dest = write_search(spark, lake, Search(("3", "zed"), cap=cap), f"{tmp_path}/", WHEN, branches=2)
-    assert dest == f"{tmp_path}/search_20240506_070809"
+    dest = write_search(spark, lake, Search(("3", "zed"), cap=cap), f"{tmp_path}/", WHEN, jobs=2)
+    assert dest.startswith(f"{tmp_path}/search_20240506_070809_")
     rows, summary = written(spark, dest)
     expected = {"people": 1, "numbers": numbers}
     assert rows == expected
@@ -114,7 +114,7 @@ def test_written_rows_agree_with_the_summary(spark, lake, tmp_path, cap, numbers
 
 
 @pytest.mark.parametrize("tasks", [1, 7])
-def test_hits_crowded_into_one_task_are_found_by_the_second_scan(spark, tmp_path, tasks):
+def test_hits_crowded_into_one_task_are_found(spark, tmp_path, tasks):
     crowded = spark.range(0, 10_000, 1, tasks).select("id", F.when(F.col("id") < 900, "hit").otherwise("no").alias("s"))
     for cap, expected in ((1000, (900, False)), (640, (640, True))):
         dest = write_search(spark, {("d", "t"): crowded}, Search(("hit",), cap=cap), f"{tmp_path}/{cap}", WHEN)
@@ -129,9 +129,29 @@ def test_ordered_cap_writes_the_first_rows(spark, lake, tmp_path):
     assert sorted(rows) == [3, 8]
 
 
+def test_more_than_a_million_hits_are_all_written(spark, tmp_path):
+    many = spark.range(1_000_100).select("id", F.lit("hit").alias("s"))
+    rows, summary = written(spark, write_search(spark, {("d", "t"): many}, Search(("hit",)), str(tmp_path), WHEN))
+    assert rows == {"t": 1_000_100} and summary == {"t": (1_000_100, False)}
+
+
+def test_two_searches_in_one_second_stay_apart(spark, lake, tmp_path):
+    folders = {write_search(spark, lake, Search(("3",)), str(tmp_path), WHEN) for _ in range(2)}
+    assert len(folders) == 2
+    assert all(written(spark, f)[0] == {"people": 1, "numbers": 20} for f in folders)
+
+
+def test_broken_tables_are_listed_even_if_nothing_matched(spark, lake, tmp_path):
+    bad = spark.range(3).select(F.raise_error(F.lit("gone")).cast("string").alias("s"))
+    dest = write_search(spark, {("d", "bad"): bad}, Search(("x",)), str(tmp_path), WHEN)
+    assert [r["table"] for r in spark.read.parquet(f"{dest}/skipped").collect()] == ["bad"]
+    dest = write_search(spark, {**lake, ("d", "bad"): bad}, Search(("3",)), str(tmp_path), WHEN)
+    assert written(spark, dest)[0] == {"people": 1, "numbers": 20}
+    assert {r["table"] for r in spark.read.parquet(f"{dest}/skipped").collect()} == {"bad", "lists"}
+
+
 def test_no_match_writes_nothing(spark, lake, tmp_path):
     assert write_search(spark, lake, Search(("nowhere",)), str(tmp_path), WHEN) is None
-    assert not list(tmp_path.iterdir())
 
 
 def test_a_broken_table_does_not_stop_the_others(spark, lake, tmp_path):
