@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ SCHEMA = (
     "near_edited double, near_next double"
 )
 _FIRST = -(1 << 63)
+_ATTEMPTS = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,15 +52,23 @@ def bins_of(hashes: np.ndarray, bins: int = BINS) -> np.ndarray | None:
     first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
     out, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
     out[names[first]], full[names[first]] = ordered[first], True
-    empty, attempt = np.flatnonzero(~full), 1
+    empty, block = np.flatnonzero(~full), 0
     while len(empty):
-        asked = (_mixed(empty.astype(np.uint64) + np.uint64(attempt * bins)) % np.uint64(bins)).astype(np.int64)
-        found = full[asked]
-        out[empty[found]] = out[asked[found]]
-        empty, attempt = empty[~found], attempt + 1
+        asked = _asked(bins, block)[:, empty]
+        hit = full[asked]
+        first_hit, found = hit.argmax(0), hit.any(0)
+        out[empty[found]] = out[asked[first_hit[found], np.flatnonzero(found)]]
+        empty, block = empty[~found], block + 1
     return out
 
 
+@lru_cache(maxsize=256)
+def _asked(bins: int, block: int) -> np.ndarray:
+    """``[attempt, bin]``: the bins that empty bins ask in the attempts of a block."""
+    attempts = np.arange(block * _ATTEMPTS + 1, (block + 1) * _ATTEMPTS + 1, dtype=np.uint64)[:, None]
+    return (_mixed(np.arange(bins, dtype=np.uint64) + attempts * np.uint64(bins)) % np.uint64(bins)).astype(np.int64)
+
+
 def packed(values: np.ndarray | None, bits: int = BITS) -> str:
     """The low bits of each bin as hex, bin 0 first; the empty string without words."""
     if values is None:
