@@ -87,7 +87,6 @@ def main() -> None:
         append_rows(rows, "bench.runlog")
         seconds["append_two_rows"] = round(time.perf_counter() - start, 3)
     spark.stop()
-    spark.stop()
     print(
         json.dumps(
             {

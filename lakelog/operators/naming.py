@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakelog.operators.slices import HOT_ROWS, with_position, with_running_max
+from lakelog.operators.slices import SLICE_BITS, with_position, with_running_max
 from lakelog.sinks.storage import checkpointed
 
 # Characters a sheet name may not hold, its length, its fallback and the names taken beforehand.
@@ -13,7 +13,6 @@ MAX_LENGTH = 31
 FALLBACK = "sheet"
 RESERVED = ("summary",)
 
-_RANGE = 65_536
 _LOOKAHEAD = 64
 
 
@@ -30,7 +29,7 @@ def _choice(cleaned: Column, place: Column) -> Column:
     return F.when(place == 0, cleaned).otherwise(F.concat(shortened, tail))
 
 
-def _spread_out(placed: DataFrame, hot_rows: int) -> DataFrame:
+def _spread_out(placed: DataFrame, bits: int) -> DataFrame:
     """Push names that share a list apart, in order, by no more than the list demands.
 
     Suffixes of one length cut the name to one length, so all names with that beginning share those choices. Of two
@@ -38,16 +37,16 @@ def _spread_out(placed: DataFrame, hot_rows: int) -> DataFrame:
     """
     digits = F.length(F.col("place").cast("string"))
     shared = F.concat_ws("/", digits, F.substring(F.col("cleaned"), F.lit(1), F.lit(MAX_LENGTH - 1) - digits))
-    keys, slice_of = ["list"], F.floor(F.col("ordinal") / _RANGE)
+    keys, at = ["list"], F.col("ordinal")
     listed = placed.where(F.col("place") > 0).withColumn("list", shared)
-    ranked = checkpointed(with_position(listed, keys, ["ordinal"], slice_of, "rank", hot_rows))
+    ranked = checkpointed(with_position(listed, keys, ["ordinal"], at, "rank", bits))
     gaps = ranked.withColumn("gap", F.col("place") - F.col("rank"))
-    pushed = with_running_max(gaps, keys, ["ordinal"], "gap", slice_of, "push", hot_rows)
+    pushed = with_running_max(gaps, keys, ["ordinal"], "gap", at, "push", bits)
     moved = pushed.select("ordinal", "name", "cleaned", (F.col("rank") + F.col("push")).alias("place"))
     return placed.where(F.col("place") == 0).select("ordinal", "name", "cleaned", "place").unionByName(moved)
 
 
-def safe_names(names: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def safe_names(names: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
     """``(ordinal, name)`` to ``(ordinal, name, safe_name)``: what serving the names in order would give.
 
     ``ordinal`` is unique and not negative. A name's position among equal cleaned names is where its search can start.
@@ -59,11 +58,9 @@ def safe_names(names: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     cleaned = names.select("ordinal", "name", cleaned_name(F.col("name")).alias("cleaned"))
     spark = names.sparkSession
     taken = spark.createDataFrame([(-1 - i, None, r) for i, r in enumerate(RESERVED)], cleaned.schema)
-    placed = with_position(
-        cleaned.unionByName(taken), ["cleaned"], ["ordinal"], F.floor(F.col("ordinal") / _RANGE), "place", hot_rows
-    )
+    placed = with_position(cleaned.unionByName(taken), ["cleaned"], ["ordinal"], F.col("ordinal"), "place", bits)
     while True:
-        asked = _spread_out(checkpointed(placed), hot_rows).withColumn("safe_name", _choice(F.col("cleaned"), F.col("place")))
+        asked = _spread_out(checkpointed(placed), bits).withColumn("safe_name", _choice(F.col("cleaned"), F.col("place")))
         placed = checkpointed(asked)
         held = placed.groupBy("safe_name").agg(F.min("ordinal").alias("holder"), F.count("*").alias("n"))
         losers = checkpointed(

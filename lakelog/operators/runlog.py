@@ -145,11 +145,12 @@ def _null_columns(rows: DataFrame) -> Column:
     return F.array_compact(F.array(*names))
 
 
-def split_nulls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that keep the NOT NULL contract, and the rest with the list of columns that break it."""
-    marked = rows.withColumn("null_columns", _null_columns(rows))
-    broken = F.size("null_columns") > 0
-    return marked.where(~broken).drop("null_columns"), marked.where(broken)
+def mark_nulls(rows: DataFrame) -> DataFrame:
+    """The rows with the list of columns that break the NOT NULL contract, empty where none does.
+
+    One result, so a caller that writes both kinds can do so from one pass.
+    """
+    return rows.withColumn("null_columns", _null_columns(rows))
 
 
 def require_not_null(rows: DataFrame) -> DataFrame:

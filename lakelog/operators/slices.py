@@ -1,105 +1,98 @@
 """Ordered work inside groups of any size.
 
 A window over a group puts the whole group into one task. When one group holds a third of a hundred terabytes that
-task never ends, so groups above ``hot_rows`` are cut into slices along their own order, the window runs per slice,
-and one small row per slice carries the result across the slice borders. Groups below the limit stay one slice
-and cost nothing extra but the count that tells them apart.
+task never ends, so every group is cut into slices along its order, whatever its size, the window runs per slice, and
+one small row per slice carries the result across the borders. Slices are cut by a whole number ``at`` that grows with
+the order (microseconds, an ordinal): 2**bits of its values make a slice, 2**bits slices a block. A window therefore
+sees at most 2**bits values of ``at``, slices or blocks at a time, and the plan is the same for all data.
 
-The hot groups are broadcast: there are at most ``total rows / hot_rows`` of them, a million for 10^12 rows.
+Keys are compared as one struct, in which nulls equal each other, so null keys form a group like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakelog.schemas import RUN_KEY
 
-HOT_ROWS = 1_000_000
 SLICE_BITS = 16
-_SLICE, _HOT = "_slice", "_hot"
+TIME_BITS = 20  # of microseconds: slices of a second, blocks of twelve days
+_SLICE, _BLOCK, _KEY, _AT = "_slice", "_block", "_key", "_at"
 
 
-def minute_of(ts: Column) -> Column:
-    """A slice number that grows with time: whole minutes since the epoch."""
-    return F.floor(F.unix_seconds(ts) / 60)
+def _sliced(df: DataFrame, keys: Sequence[str], at: Column, bits: int) -> DataFrame:
+    return df.withColumns({_KEY: F.struct(*keys), _SLICE: F.shiftright(at.cast("long"), bits)})
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], slice_of: Column, hot_rows: int) -> DataFrame:
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    return marked.withColumn(_SLICE, F.when(F.col(_HOT), slice_of.cast("long")).otherwise(F.lit(0)))
+def _carried(
+    rows: DataFrame,
+    total: Column,
+    merge: Callable[[str], Column],
+    combine: Callable[[Column, Column], Column],
+    bits: int,
+) -> DataFrame:
+    """Per (key, slice): what all earlier slices of the group add up to, as ``_before``; null where there is nothing."""
+    cells = rows.groupBy(_KEY, _SLICE).agg(total.alias("_t")).withColumn(_BLOCK, F.shiftright(_SLICE, bits))
+
+    def earlier(order: str, *group: str) -> Window:
+        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    blocks = cells.groupBy(_KEY, _BLOCK).agg(merge("_t").alias("_t"))
+    blocks = blocks.select(_KEY, _BLOCK, merge("_t").over(earlier(_BLOCK, _KEY)).alias("_outer"))
+    inner = cells.withColumn("_inner", merge("_t").over(earlier(_SLICE, _KEY, _BLOCK)))
+    return inner.join(blocks, [_KEY, _BLOCK]).select(
+        _KEY, _SLICE, combine(F.col("_inner"), F.col("_outer")).alias("_before")
+    )
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_of: Column, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, out: str, bits: int = SLICE_BITS
 ) -> DataFrame:
     """Number the rows of each group from 0 in the given order, exactly.
 
-    ``slice_of`` must not decrease along the order. Both the window and the join below need the rows hashed by
-    (keys, slice), so one shuffle serves them.
+    ``at`` must not decrease along the order. Both the window and the join need the rows hashed by (key, slice), so
+    one shuffle serves them; the counts of slices combine before theirs.
     """
-    rows = _sliced(df, keys, slice_of, hot_rows)
-    cell = [*keys, _SLICE]
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.where(_HOT)
-        .groupBy(*cell)
-        .agg(F.count("*").alias("_n"))
-        .select(*cell, F.sum("_n").over(earlier).alias("_before"))
+    rows = _sliced(df, keys, at, bits)
+    before = _carried(
+        rows, F.count("*"), F.sum, lambda inner, outer: F.coalesce(inner, F.lit(0)) + F.coalesce(outer, F.lit(0)), bits
     )
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
-    numbered = rows.withColumn(out, inside.cast("long")).join(before, cell, "left")
-    return numbered.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop(_SLICE, _HOT, "_before")
+    inside = F.row_number().over(Window.partitionBy(_KEY, _SLICE).orderBy(*order)) - 1
+    numbered = rows.withColumn(out, inside.cast("long")).join(before, [_KEY, _SLICE], "left")
+    return numbered.withColumn(out, F.col(out) + F.col("_before")).drop(_KEY, _SLICE, "_before")
 
 
 def with_next(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    slice_of: Column,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, at: Column, out: str, bits: int = SLICE_BITS
 ) -> DataFrame:
-    """The value of the row that follows in the group's order; null for the last row. Values must not be null."""
-    rows = _sliced(df, keys, slice_of, hot_rows)
-    cell = [*keys, _SLICE]
-    heads = (
-        rows.where(_HOT)
-        .groupBy(*cell)
-        .agg(F.min_by(value, F.struct(*order)).alias("_head"))
-        .select(*cell, F.lead("_head").over(Window.partitionBy(*keys).orderBy(_SLICE)).alias("_following"))
-    )
-    inside = F.lead(value).over(Window.partitionBy(*cell).orderBy(*order))
-    joined = rows.withColumn(out, inside).join(heads, cell, "left")
-    return joined.withColumn(out, F.coalesce(out, "_following")).drop(_SLICE, _HOT, "_following")
+    """The value of the row that follows in the group's order; null for the last row. Values must not be null.
+
+    The last row of a slice finds its follower among the first values of the later slices of its block, the last row
+    of a block among those of the later blocks. Rows that have theirs keep to their slice meanwhile, so the rows go
+    through three shuffles in a line and their source is read once.
+    """
+    at_slice, at_block = F.shiftright(_AT, bits), F.shiftright(F.shiftright(_AT, bits), bits)
+    settled = F.when(F.col(out).isNotNull(), at_slice)
+    rows = df.withColumns({_KEY: F.struct(*keys), _AT: at.cast("long"), "_head": F.col(value)})
+    rows = rows.withColumn(out, F.lit(None).cast(rows.schema[value].dataType))
+    for group, by in [([at_slice], list(order)), ([at_block, settled], [_AT]), ([settled], [_AT])]:
+        window = Window.partitionBy(_KEY, *group).orderBy(*by)
+        first = F.first("_head").over(window.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumns({out: F.coalesce(out, F.lead("_head").over(window)), "_head": first})
+    return rows.drop(_KEY, _AT, "_head")
 
 
 def with_running_max(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    slice_of: Column,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, at: Column, out: str, bits: int = SLICE_BITS
 ) -> DataFrame:
     """The largest value from the start of the group to the row itself, in the group's order."""
-    rows = _sliced(df, keys, slice_of, hot_rows)
-    cell = [*keys, _SLICE]
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.where(_HOT)
-        .groupBy(*cell)
-        .agg(F.max(value).alias("_top"))
-        .select(*cell, F.max("_top").over(earlier).alias("_before"))
-    )
-    inside = F.max(value).over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = rows.withColumn(out, inside).join(before, cell, "left")
-    return joined.withColumn(out, F.greatest(out, "_before")).drop(_SLICE, _HOT, "_before")
+    rows = _sliced(df, keys, at, bits)
+    before = _carried(rows, F.max(value), F.max, F.greatest, bits)
+    inside = F.max(value).over(Window.partitionBy(_KEY, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn(out, inside).join(before, [_KEY, _SLICE], "left")
+    return joined.withColumn(out, F.greatest(out, "_before")).drop(_KEY, _SLICE, "_before")
 
 
 def child_slice(child_index: Column, bits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakelog.functions.text import MESSAGE_LIMIT, truncate
-from lakelog.operators.slices import HOT_ROWS, minute_of, with_next
+from lakelog.operators.slices import TIME_BITS, with_next
 from lakelog.schemas import LOG_RECORDS, RUN_KEY
 
 LOGGER = "lakelog.steps"
@@ -71,7 +71,7 @@ def step_spans(records: DataFrame) -> DataFrame:
     )
 
 
-def open_steps(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def open_steps(records: DataFrame, bits: int = TIME_BITS) -> DataFrame:
     """Starts whose next record of the same (run, step) is not an exit.
 
     Records carry no step id, so overlapping steps of one name cannot be told apart. At one instant starts come
@@ -80,7 +80,7 @@ def open_steps(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     steps = records.where(F.col("phase").isin(START, *EXITS)).select(
         RUN_KEY, "step", "ts", "phase", (F.col("phase") != START).alias("_exit")
     )
-    followed = with_next(steps, [RUN_KEY, "step"], ["ts", "_exit"], "phase", minute_of(F.col("ts")), "_next", hot_rows)
+    followed = with_next(steps, [RUN_KEY, "step"], ["ts", "_exit"], "phase", F.unix_micros("ts"), "_next", bits)
     stays_open = (F.col("phase") == START) & ~F.coalesce(F.col("_next").isin(*EXITS), F.lit(False))
     return followed.where(stays_open).select(RUN_KEY, "step", F.col("ts").alias("started_at"))
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from lakelog.operators.slices import HOT_ROWS, with_position
+from lakelog.operators.slices import TIME_BITS, with_position
 from lakelog.schemas import OUTCOME, PLAN, RUN_KEY
 from lakelog.sinks.storage import fresh_path
 from lakelog.sources.files import parquet_table
@@ -68,12 +68,12 @@ def event_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def children(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Events with their place in the run; a run of a third of all events is numbered in slices."""
+def children(spark: SparkSession, folder: str, bits: int = TIME_BITS) -> DataFrame:
+    """Events with their place in the run, numbered in slices of a second."""
     facts = event_facts(spark, folder)
-    # Whole microseconds over 60 million: the same minute for every session zone.
-    minute = F.floor(F.unix_micros("started_at") / 60_000_000)
-    return with_position(facts, [RUN_KEY], ["started_at", "event_id"], minute, "child_index", hot_rows)
+    return with_position(
+        facts, [RUN_KEY], ["started_at", "event_id"], F.unix_micros("started_at"), "child_index", bits
+    )
 
 
 def _shaped(df: DataFrame, schema) -> DataFrame:

@@ -70,6 +70,26 @@ def built_log(spark: SparkSession, folder: str) -> DataFrame:
     return runlog.build_runlog(*plan_and_outcome(spark, folder), orchestrator_notebook="orchestrator")
 
 
+@query(
+    INPUT_SQL
+    + """select pipeline_run_id as planned_run, cast(1 as bigint) as ids, fail_fast as supplied, not fail_fast as fresh,
+    count(*) as children from plan group by pipeline_run_id, fail_fast"""
+)
+def runlog_run_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the runs bring their id and keep it; each of the others gets one fresh version-4 id."""
+    plan, _ = plan_and_outcome(spark, folder)
+    asked = plan.withColumn("planned_run", F.col(RUN_KEY)).withColumn(RUN_KEY, F.when(F.col("fail_fast"), F.col(RUN_KEY)))
+    stamped = runlog.with_run_ids(asked, ["pipeline_name", "planned_run"])
+    uuid4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    ids = stamped.groupBy("planned_run", RUN_KEY).agg(F.count("*").alias("n"))
+    return ids.groupBy("planned_run").agg(
+        F.count("*").alias("ids"),
+        F.bool_and(F.col(RUN_KEY) == F.col("planned_run")).alias("supplied"),
+        F.bool_and(F.col(RUN_KEY).rlike(uuid4)).alias("fresh"),
+        F.sum("n").alias("children"),
+    )
+
+
 @query(INPUT_SQL + "select pipeline_run_id, child_index, own as status from st")
 def runlog_status(spark: SparkSession, folder: str) -> DataFrame:
     _, outcome = plan_and_outcome(spark, folder)
@@ -119,6 +139,26 @@ def runlog_skip(spark: SparkSession, folder: str) -> DataFrame:
     return runlog.build_runlog(plan.where("fail_fast"), outcome).select(*CHILD_KEY, "status")
 
 
+@query(
+    INPUT_SQL
+    + """select pipeline_run_id as planned_run, cast(1 as bigint) as ids, fail_fast as supplied, not fail_fast as fresh,
+    count(*) as children from plan group by pipeline_run_id, fail_fast"""
+)
+def runlog_run_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the runs bring their id and keep it; each of the others gets one fresh version-4 id."""
+    plan, _ = plan_and_outcome(spark, folder)
+    asked = plan.withColumn("planned_run", F.col(RUN_KEY)).withColumn(RUN_KEY, F.when(F.col("fail_fast"), F.col(RUN_KEY)))
+    stamped = runlog.with_run_ids(asked, ["pipeline_name", "planned_run"])
+    uuid4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    ids = stamped.groupBy("planned_run", RUN_KEY).agg(F.count("*").alias("n"))
+    return ids.groupBy("planned_run").agg(
+        F.count("*").alias("ids"),
+        F.bool_and(F.col(RUN_KEY) == F.col("planned_run")).alias("supplied"),
+        F.bool_and(F.col(RUN_KEY).rlike(uuid4)).alias("fresh"),
+        F.sum("n").alias("children"),
+    )
+
+
 @query(INPUT_SQL + "select pipeline_run_id, child_index, own as status from st")
 def runlog_run_all(spark: SparkSession, folder: str) -> DataFrame:
     """Without fail-fast every child keeps its own status."""
@@ -165,10 +205,9 @@ def runlog_null_guard(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("finished_at", F.when((F.col("k") % 7 != 0) | (F.col("status") == "skipped"), F.col("finished_at")))
         .drop("k")
     )
-    valid, broken = runlog.split_nulls(damaged)
-    kept = valid.select(*CHILD_KEY, F.lit("").alias("null_columns"), F.lit(True).alias("valid"))
-    aside = broken.select(*CHILD_KEY, F.array_join("null_columns", ", ").alias("null_columns"), F.lit(False).alias("valid"))
-    return kept.unionByName(aside)
+    marked = runlog.mark_nulls(damaged)
+    broken = F.array_join("null_columns", ", ").alias("null_columns")
+    return marked.select(*CHILD_KEY, broken, (F.size("null_columns") == 0).alias("valid"))
 
 
 @query(

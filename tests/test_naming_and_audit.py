@@ -48,7 +48,7 @@ def test_cut_names_compete_for_the_same_choices(spark):
 
 
 def test_large_group_is_numbered_in_slices(spark):
-    check(spark, ["same"] * 50 + ["other", "same_3"] * 3, hot_rows=10)
+    check(spark, ["same"] * 50 + ["other", "same_3"] * 3, bits=3)
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakelog.functions.text import iso_utc
 from lakelog.operators import logs, steps
-from lakelog.operators.slices import with_next, with_position
+from lakelog.operators.slices import TIME_BITS, with_next, with_position
 from lakelog.plans.inputs import instant
 from lakelog.schemas import LOG_LINE_KEYS, LOG_RECORDS
 
@@ -73,8 +73,8 @@ def test_latest_metric_wins(spark):
     assert rows == {("s", "rows", 3.0), ("s", "size", 9.0), ("t", "rows", 5.0)}
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
-def test_open_steps_in_groups_of_any_size(spark, hot_rows):
+@pytest.mark.parametrize("bits", [12, 26, 62])
+def test_open_steps_in_groups_of_any_size(spark, bits):
     rng, rows = random.Random(3), []
     for run in ("big", "small"):
         for i in range(200 if run == "big" else 3):
@@ -88,19 +88,19 @@ def test_open_steps_in_groups_of_any_size(spark, hot_rows):
         if r[3] == "start" and not (nxt[0] == r[0] and nxt[3] != "start")
     )
     records = spark.createDataFrame(rows, "pipeline_run_id string, step string, ts timestamp, phase string")
-    got = sorted((r[0], r[2]) for r in steps.open_steps(records, hot_rows).collect())
+    got = sorted((r[0], r[2]) for r in steps.open_steps(records, bits).collect())
     assert got == expected and expected
 
 
-@pytest.mark.parametrize("hot_rows", [0, 5, 1_000_000])
-def test_positions_and_followers_in_slices(spark, hot_rows):
+@pytest.mark.parametrize("bits", [0, 3, 20])
+def test_positions_and_followers_in_slices(spark, bits):
     rng = random.Random(11)
-    rows = [(rng.choice("aab"), rng.randrange(300), i) for i in range(400)]
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randrange(300), i) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, t int, id int")
     args = (["g"], ["t", "id"])
-    position = {r["id"]: r["p"] for r in with_position(df, *args, F.col("t") / 10, "p", hot_rows).collect()}
-    follower = {r["id"]: r["n"] for r in with_next(df, *args, "id", F.col("t") / 10, "n", hot_rows).collect()}
-    for group in "ab":
+    position = {r["id"]: r["p"] for r in with_position(df, *args, F.col("t"), "p", bits).collect()}
+    follower = {r["id"]: r["n"] for r in with_next(df, *args, "id", F.col("t"), "n", bits).collect()}
+    for group in ("a", "b", None):
         ids = [r[2] for r in sorted((r for r in rows if r[0] == group), key=lambda r: r[1:])]
         assert [position[i] for i in ids] == list(range(len(ids)))
         assert [follower[i] for i in ids] == ids[1:] + [None]
@@ -109,8 +109,23 @@ def test_positions_and_followers_in_slices(spark, hot_rows):
 
 def test_hot_path_sorts_slices_not_groups(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("g"), "id")
-    plan = with_position(df, ["g"], ["id"], F.col("id") / 10, "p", 5)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(g" in plan and "_slice" in plan
+    plan = with_position(df, ["g"], ["id"], F.col("id"), "p", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key" in plan and "_slice" in plan
+
+
+def test_a_burst_is_spread_and_read_once(spark, tmp_path):
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000)
+    burst = spark.range(20_000).select(
+        F.lit("r").alias("pipeline_run_id"), F.lit("s").alias("step"), at.alias("ts"), F.lit("start").alias("phase")
+    )
+    burst.write.parquet(str(tmp_path / "burst"))
+    opened = steps.open_steps(spark.read.parquet(str(tmp_path / "burst")))
+    assert opened.count() == 20_000
+    slices = burst.groupBy(F.shiftright(F.unix_micros("ts"), TIME_BITS)).count().collect()
+    assert len(slices) >= 19 and max(r["count"] for r in slices) <= 1049
+    opened.collect()
+    plan = opened._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "Broadcast" not in plan
 
 
 RECORD = dict(ts=dt.datetime(2026, 5, 21, 14, 2, 11), level="INFO", logger="lakelog.run", msg='say "hi"\nthere', pipeline_run_id="r-1",
