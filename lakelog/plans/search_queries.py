@@ -155,7 +155,7 @@ _NUMBERS = {
 _DAYS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 
 
-def _sql_hits(words: list[str]) -> str:
+def sql_hits(words: list[str]) -> str:
     """``(table, row_key)`` of all rows where any word occurs, as SQL."""
     parts = []
     for table in TABLES:
@@ -175,7 +175,7 @@ def _sql_hits(words: list[str]) -> str:
 
 
 @query(
-    f"""with t as ({_COUNTS}), h as ({_sql_hits(["BUILDING"])})
+    f"""with t as ({_COUNTS}), h as ({sql_hits(["BUILDING"])})
     select 'lake' as database, t."table", t."table" in ('embeddings', 'labels') as skipped,
       (select count(*) from h where h."table" = t."table") as hits
     from t"""
@@ -246,7 +246,7 @@ _COLUMN_ROWS = ", ".join(f"('{t}', '{_sql_columns(t)}')" for t in TABLES)
 
 
 @query(
-    f"""with c(t, cols) as (values {_COLUMN_ROWS}), h as ({_sql_hits(_MIXED)})
+    f"""with c(t, cols) as (values {_COLUMN_ROWS}), h as ({sql_hits(_MIXED)})
     select 'lake' as database, c.t as "table", c.cols as matched_columns,
       (select count(*) from h where h."table" = c.t) as hits
     from c"""
@@ -278,20 +278,20 @@ def search_one_table(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("event_id", "user_id", "props")
 
 
-def _row_key(row_json: str) -> F.Column:
+def row_key(row_json: str) -> F.Column:
     return F.regexp_extract(row_json, r'^\{"[^"]*":(-?[0-9]+)', 1).cast("long")
 
 
-@query(f"select 'lake' as database, \"table\", row_key from ({_sql_hits(['ring', '42', '2024-01-15'])})")
+@query(f"select 'lake' as database, \"table\", row_key from ({sql_hits(['ring', '42', '2024-01-15'])})")
 def search_lake(spark: SparkSession, folder: str) -> DataFrame:
     search = Search(("ring", "42", "2024-01-15"), cap=None)
     found = search_tables(spark, given_lake(spark, folder), search)
-    return found.select("database", "table", _row_key("row_json").alias("row_key"))
+    return found.select("database", "table", row_key("row_json").alias("row_key"))
 
 
 @query(
     f"""select 'lake' as database, "table", least(count(*), 100) as count, count(*) > 100 as truncated
-    from ({_sql_hits(['42'])}) group by "table" """
+    from ({sql_hits(['42'])}) group by "table" """
 )
 def search_cap(spark: SparkSession, folder: str) -> DataFrame:
     """The row cap is the feature here: rows that a limit of 100 per table leaves, and whether it cut any."""
@@ -303,7 +303,7 @@ def search_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""with c(t, cols) as (values {_COLUMN_ROWS}), h as (select "table" as t, count(*) as n
-      from ({_sql_hits(_MIXED)}) group by 1)
+      from ({sql_hits(_MIXED)}) group by 1)
     select 'lake' as database, c.t as "table", c.cols as matched_columns, n as count, n as kept, false as truncated,
       concat(n, ' rows matched OR [''42'', ''2024-01-15''] in [''',
         replace(c.cols, ', ', ''', '''), ''']') as message
@@ -315,7 +315,7 @@ def search_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""select 'lake' as database, "table", count(*) as rows, count(*) as count, false as truncated
-    from ({_sql_hits(['ring'])}) group by "table" """
+    from ({sql_hits(['ring'])}) group by "table" """
 )
 def search_results(spark: SparkSession, folder: str) -> DataFrame:
     """Write the results and read them back: rows in the files beside the count in the summary."""

@@ -18,7 +18,7 @@ SKIP_DATABASES = ("default", "information_schema")
 Name = tuple[str, str]
 
 
-def _ident(name: str) -> str:
+def quoted_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -40,7 +40,7 @@ def table_names(spark: SparkSession, names: Iterable[str]) -> tuple[list[Name],
     pairs, failed = [], []
     for database in names:
         try:
-            rows = spark.sql(f"SHOW TABLES IN {_ident(database)}").where("NOT isTemporary").collect()
+            rows = spark.sql(f"SHOW TABLES IN {quoted_name(database)}").where("NOT isTemporary").collect()
         except PySparkException as error:
             failed.append((database, "", str(error).splitlines()[0]))
             continue
@@ -53,7 +53,7 @@ def read_lake(spark: SparkSession, pairs: Iterable[Name]) -> tuple[dict[Name, Da
     lake, failed = {}, []
     for database, table in pairs:
         try:
-            lake[database, table] = spark.table(f"{_ident(database)}.{_ident(table)}")
+            lake[database, table] = spark.table(f"{quoted_name(database)}.{quoted_name(table)}")
             lake[database, table].schema  # resolves a view over something that is gone
         except PySparkException as error:
             lake.pop((database, table), None)
