@@ -62,8 +62,8 @@ def _step_totals(spans: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 def with_steps(runlog: DataFrame, spans: DataFrame) -> DataFrame:
     """Every run-log row with the totals of its own steps and of its run's steps that name no child.
 
-    AQE splits the rows of a run that is far larger than others. The steps are added up before the join. Joining them one by one would repeat every run-level step on every
-    child of the run.
+    AQE splits the rows of a run that is far larger than others. The steps are added up before the join; joining them
+    one by one would repeat every run-level step on every child of the run.
     """
     own = _step_totals(spans.where(F.col("child_index").isNotNull()), CHILD_KEY, "child")
     shared = _step_totals(spans.where(F.col("child_index").isNull()), [RUN_KEY], "run")

@@ -312,21 +312,19 @@ def test_detail_and_summary(spark):
     assert latest[0]["run_start"] == NOON and latest[0]["run_end"] == NOON + dt.timedelta(minutes=5, seconds=5)
 
 
-@pytest.mark.parametrize("bits", [0, 2, 16])
-def test_join_with_activity_at_any_slice_size(spark, bits):
+def test_join_with_activity(spark):
     activity = spark.createDataFrame([("a", "nightly"), ("c", "manual"), ("zz", "other")], "pipeline_run_id string, trigger string")
-    joined = reports.with_activity(sample(spark), activity, bits)
+    joined = reports.with_activity(sample(spark), activity)
     rows = {(r["pipeline_run_id"], r["child_index"]): r["trigger"] for r in joined.collect()}
     assert rows == {(r, i): t for r, t in (("a", "nightly"), ("c", "manual")) for i in range(6)}
 
 
-@pytest.mark.parametrize("bits", [1, 16])
-def test_join_with_steps(spark, bits):
+def test_join_with_steps(spark):
     spans = spark.createDataFrame(
         [("a", 0, "ok", 10), ("a", 0, "failed", 5), ("a", None, "ok", 7), ("a", None, "ok", 1), ("z", 0, "ok", 9)],
         "pipeline_run_id string, child_index long, phase string, duration_ms long",
     )
-    joined = reports.with_steps(sample(spark), spans, bits)
+    joined = reports.with_steps(sample(spark), spans)
     rows = {(r["pipeline_run_id"], r["child_index"]): (r["child_steps"], r["child_steps_failed"], r["child_step_ms"],
                                                        r["run_steps"], r["run_step_ms"]) for r in joined.collect()}
     assert len(rows) == 18
