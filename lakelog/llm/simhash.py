@@ -270,7 +270,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id, nulls first if alone."""
-    groups = near_duplicates(docs, distance, shingle)
+    return least_of_each(docs, near_duplicates(docs, distance, shingle))
+
+
+def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with the row of each group whose id is the group's ``component_id``."""
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component_key"])
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     rows = docs.withColumn("_text", F.xxhash64("text"))
