@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -57,11 +58,12 @@ _WORDS = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _RUN = re.compile(rf"(?i)(?<!\w)(?:{_WORDS}|[0-9])(?:[ \t-]+(?:{_WORDS}|[0-9]++)(?!\w)){{2,}}")
 _WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)|[ \t]+(?=[A-Za-zéü0-9])")
 _BRACKETED = re.compile(r"(?i)\s?[\[({<]\s?(?:(at|@)|(dot|\.))\s?[\])}>]\s?")
-_SPOKEN = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4}( at )"
-    r"(?!(?:the|a|an|this|that|each|every) )[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){0,4} dot [A-Za-z]{2,24}(?![A-Za-z0-9-])"
-)
+_AT = re.compile(r"(?i)@| at (?!(?:the|a|an|this|that|each|every) )")
+_SPOKEN_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?:\.| dot )[A-Za-z0-9-]++)++")
+_SPOKEN_IP = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\.| dot )[0-9]++){3}")
 _DOT = re.compile(r"(?i) dot ")
+_ANY_DOT = re.compile(r"(?i)\.| dot ")
+_TOP = re.compile(r"[A-Za-z]{2,24}")
 _BRACKET = re.compile(r"[\[({<]")
 _BREAKS = str.maketrans(dict.fromkeys("-()[]{}<>,.:;!?\"'/+", " "))
 
@@ -161,13 +163,50 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    if not _BRACKET.search(text):
+        return []
+    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+
+
+def _local_start(text: str, at: int, floor: int) -> int:
+    """Where the local part that ends at ``at`` begins, its parts joined by ``.`` or " dot "."""
+    start = at
+    while True:
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        before = start - 5
+        if start == at or before <= floor or text[before:start].lower() != " dot " or text[before - 1] not in _LOCAL:
+            return start
+        start = before
+
+
+def _spoken_emails(text: str) -> Iterator[tuple[re.Match, int, int]]:
+    """The "@" or " at " of each address, and the address' start and end; at and dots may be spoken or not."""
+    floor = 0
+    for at in _AT.finditer(text):
+        domain = _SPOKEN_DOMAIN.match(text, at.end()) if at.start() and text[at.start() - 1] in _LOCAL else None
+        if domain is None:
+            continue
+        end, dots = domain.end(), list(_ANY_DOT.finditer(text, domain.start(), domain.end()))
+        while dots and not _TOP.fullmatch(text, dots[-1].end(), end):  # "example dot com dot 5" ends before " dot 5"
+            end = dots.pop().start()
+        start = _local_start(text, at.start(), floor)
+        if dots and start < at.start():
+            yield at, start, end
+            floor = end
+
+
 def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
+    """" at " and " dot " of addresses and IP numbers, mixed with "@" and "." in any way."""
     edits = []
-    if _BRACKET.search(text):
-        edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+    for at, start, end in _spoken_emails(text):
+        if at[0] != "@":
+            edits.append((at.start(), at.end(), "@"))
+        for side in ((start, at.start()), (at.end(), end)):
+            edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, *side)]
     if _DOT.search(text):
-        for m in _SPOKEN.finditer(text):
-            edits.append((m.start(1), m.end(1), "@"))
+        for m in _SPOKEN_IP.finditer(text):
             edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, m.start(), m.end())]
     edits.sort()
     apart, end = [], 0
@@ -181,7 +220,7 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
 def rewrite(text: str) -> Rewritten | None:
     """The text after all transducers, or None if none of them changes it."""
     out, changed = Rewritten(text), False
-    for transducer in (_lookalikes, _spelled_digits, _at_and_dot):
+    for transducer in (_lookalikes, _spelled_digits, _bracketed, _at_and_dot):
         if edits := transducer(out.text):
             out.replace(edits)
             changed = True

@@ -1,9 +1,10 @@
 """Cases that an operator answered from a part of its input before."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from lakelog.llm import alike
+from lakelog.llm import alike, pii
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,3 +57,33 @@ def test_bands_meet_at_the_threshold():
             a, b = hashes[: shared + half], np.r_[hashes[:shared], hashes[shared + half :]]
             met += any(x == y for x, y in zip(alike.band_keys(np.unique(a)), alike.band_keys(np.unique(b)), strict=True))
         assert met >= 298
+
+
+# ------------------------------------------------------------------ personal data
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("bob (at) example dot com", "email"),
+        ("bob@example dot com", "email"),
+        ("bob at example.com", "email"),
+        ("bob at example (dot) com", "email"),
+        ("bob dot j.smith [at] mail dot example.com", "email"),
+        ("a dot b dot c dot d dot e dot f dot g at h dot i dot j dot k dot l dot m dot com", "email"),
+        ("bob at dot dot com", "email"),
+        ("192 dot 168 dot 1 dot 1", "ip"),
+        ("192 dot 168.1 [dot] 1", "ip"),
+    ],
+)
+def test_mixed_disguises_are_found(text, kind):
+    plain, more = pii.find_spans(f"x: {text}, y")
+    assert plain == [] and [(s, e, pii.KINDS[k]) for s, k, e in more] == [(3, 3 + len(text), kind)]
+    assert pii.masked(f"x: {text}, y", more) == f"x: [{kind.upper()}], y"
+
+
+def test_prose_and_long_chains_stay_quick():
+    for text in ("We met at noon. Then at home dot", "look at the dot by the dot", "1 dot 2 dot 3", "at the dot com"):
+        assert pii.find_spans(text) == ([], [])
+    for text in ("a dot " * 200_000, "a at " * 200_000, "a@" * 200_000, "a at b dot " * 100_000, "1 dot " * 200_000):
+        pii.find_spans(text)
