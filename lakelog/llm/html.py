@@ -35,6 +35,8 @@ _NAMES = 2048  # rows of the table of path vectors
 _NAME_SIZE = 16
 _WORD_SIZE = 8
 _CELLS = 1 << 15  # leaves of padded sequences that run together
+_PATH_NAMES = 1 << 20  # names on their paths, about
+_GATHERED = 1 << 18  # path vectors gathered at once
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -75,7 +77,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return (tag,)
     words = [w for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())]
-    return (tag, *("." + w for w in words[:8]))
+    return (tag, *("." + w for w in dict.fromkeys(words)))
 
 
 def leaves(markup: str) -> list[Leaf]:
@@ -197,10 +199,11 @@ class Features:
         if names:  # the leaf's own element once more, apart from its ancestors
             tags = [n for n in names if n[0] != "."]
             rows.append(_row("leaf:" + (tags[-1] if tags else "")))
-        return rows[-4 * PATH :]
+        return rows
 
     def text(self, text: str) -> list[float]:
-        words = text.split(" ", 24)[:24]
+        """The sum of the vectors of all words, and the length, word count and share of sentence ends of all of them."""
+        words = text.split(" ")
         rows = []
         for word in words:
             row = self.words.get(word)
@@ -211,7 +214,11 @@ class Features:
             rows.append(row)
         size, n = len(text), len(words)
         stops = sum(w[-1:] in ".!?" for w in words) / n
-        return [*(self.table[rows].sum(0) / n**0.5).tolist(), np.log1p(size) / 4, min(n, 24) / 12, stops]
+        if n > len(self.table):  # a long block: no row per word
+            total = np.bincount(rows, minlength=len(self.table)) @ self.table
+        else:
+            total = self.table[rows].sum(0)
+        return [*(total / n**0.5).tolist(), np.log1p(size) / 4, np.log1p(n) / 2, stops]
 
 
 _TEXT_SIZE = _WORD_SIZE + 3
@@ -259,7 +266,9 @@ class Labeller:
     def _inputs(self, batch: tuple[np.ndarray, ...]) -> np.ndarray:
         rows, owner, weight, texts, _ = batch
         names = np.zeros((texts.shape[0] * texts.shape[1], _NAME_SIZE), np.float32)
-        np.add.at(names, owner, self.p["names"][rows] * weight[:, None])
+        for i in range(0, len(rows), _GATHERED):
+            part = slice(i, i + _GATHERED)
+            np.add.at(names, owner[part], self.p["names"][rows[part]] * weight[part, None])
         return np.concatenate([names.reshape(*texts.shape[:2], _NAME_SIZE), texts], axis=2)
 
     def _scan(self, x: np.ndarray, way: str, live: np.ndarray, keep: bool):
@@ -350,9 +359,11 @@ class Labeller:
         """Whether each leaf of each page belongs to the article."""
         out: list[list[bool]] = [[] for _ in pages]
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        names = [sum(len(path) for path, _ in p) for p in pages]
         while order:
-            n = 1
-            while n < len(order) and (n + 1) * len(pages[order[n]]) <= _CELLS:
+            n, size = 1, names[order[0]]
+            while n < len(order) and (n + 1) * len(pages[order[n]]) <= _CELLS and size + names[order[n]] <= _PATH_NAMES:
+                size += names[order[n]]
                 n += 1
             part, order = order[:n], order[n:]
             logits = self.scores(prepare(features, [pages[i] for i in part]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lakelog.llm import alike, pii
+from lakelog.llm import alike, html, pii
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -87,3 +87,18 @@ def test_prose_and_long_chains_stay_quick():
         assert pii.find_spans(text) == ([], [])
     for text in ("a dot " * 200_000, "a at " * 200_000, "a@" * 200_000, "a at b dot " * 100_000, "1 dot " * 200_000):
         pii.find_spans(text)
+
+
+# ------------------------------------------------------------------ web pages
+
+
+def test_features_read_whole_blocks_and_all_names():
+    features, opening = html.Features(), "word " * 24
+    prose, advert = features.text(opening + "and so it goes on."), features.text(opening + "buy now! " * 40)
+    assert prose[:8] != advert[:8] and prose[9] != advert[9] and prose[10] != advert[10]
+    many = " ".join(chr(97 + i) * 3 for i in range(20))
+    ((names, _),) = html.leaves(f'<div class="{many} advert"><p>Text</p></div>')
+    assert ".advert" in names and html.teacher((names, "Text")) is False
+    assert len(features.path(names)) == len(names) + 1
+    long = "one two. " * 20_000
+    assert np.allclose(features.text(long.strip())[8:], [np.log1p(len(long) - 1) / 4, np.log1p(40_000) / 2, 0.5])
