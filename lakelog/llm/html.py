@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakelog.llm.rows import map_texts, texts_of
 
-#: Pages, about, that the model is trained on, and the longest of them in characters.
+#: Pages, about, of any length, that the model is trained on; leaves of a training sequence, longer pages are several.
 SAMPLE = 300
-SAMPLE_CHARS = 60_000
+WINDOW = 2000
 #: Names on a leaf's path that count, from the leaf upwards.
 PATH = 12
 HIDDEN = 16
@@ -324,8 +324,10 @@ class Labeller:
             out[f"c{way}"], out[f"h{way}"] = dz_all.sum((0, 1)), d_h
             dx += dz_all @ self.p[f"x{way}"].T
         rows, owner, weight, *_ = batch
-        out["names"] = np.zeros_like(self.p["names"])
-        np.add.at(out["names"], rows, dx.reshape(-1, dx.shape[2])[owner, :_NAME_SIZE] * weight[:, None])
+        out["names"], d_names = np.zeros_like(self.p["names"]), dx.reshape(-1, dx.shape[2])[:, :_NAME_SIZE]
+        for i in range(0, len(rows), _GATHERED):
+            part = slice(i, i + _GATHERED)
+            np.add.at(out["names"], rows[part], d_names[owner[part]] * weight[part, None])
         return out
 
     def fit(self, sequences: list[tuple[list[Leaf], list[bool | None]]], epochs: int = EPOCHS) -> Labeller:
@@ -420,19 +422,35 @@ def made_sequences(texts: list[str], labels: list[str], number: int, seed: int =
         yield leaves_, marks
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller | None:
-    """A labeller trained on about ``sample`` pages, chosen by a hash; None without pages. Runs jobs."""
-    usable = pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS))
+# Texts of made sequences where the pages give none.
+_PROSE = (
+    "The council met on Tuesday to discuss the new bridge. Work is to begin in spring, and the old road stays open.",
+    "She had written the first chapters in a small room above the bakery, long before anyone had heard of her.",
+    "Researchers followed the birds for three years and found that they return to the same valley every autumn.",
+    "Heat the oil in a wide pan, add the onions and stir until they are soft. Then pour in the stock.",
+    "A library keeps an index so that a reader need not look at every shelf. The same idea serves a database.",
+)
+_LABELS = ("Home", "About us", "Contact", "Read more", "Share this", "Log in", "Privacy policy", "All rights reserved", "Next page", "Subscribe")
+
+
+def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
+    """A labeller trained on about ``sample`` pages of any length, chosen by a hash, and on made sequences. Runs jobs.
+
+    Where no page of the sample has text, the made sequences are of fixed texts.
+    """
+    usable = pages.select("page_id", "html").filter(F.length("html") > 0)
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sequences = [leaves(r["html"]) for r in chosen.select("html").limit(4 * sample).toLocalIterator()]
-    sequences = sorted(s for s in sequences if s)
-    if not sequences:
-        return None
+    sequences = []
+    for row in chosen.select("html").limit(4 * sample).toLocalIterator():
+        page = leaves(row["html"])
+        sequences += [page[i : i + WINDOW] for i in range(0, len(page), WINDOW)]
+    sequences.sort()
     marked = [(s, [teacher(leaf) for leaf in s]) for s in sequences]
     texts = [t for s, marks in marked for (_, t), m in zip(s, marks, strict=True) if m] or [t for s in sequences for _, t in s]
     others = [t for s, marks in marked for (_, t), m in zip(s, marks, strict=True) if m is False] or texts
-    return Labeller().fit([*marked, *made_sequences(texts, others, max(200, len(sequences)))])
+    made = made_sequences(texts or list(_PROSE), others or list(_LABELS), max(200, len(sequences)))
+    return Labeller().fit([*marked, *made])
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -442,7 +460,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     text; a null ``page_id`` and repeated rows are kept, a row each; no rows give no rows. Without ``model`` one is
     trained on a sample of the pages (runs jobs).
     """
-    labeller = model or train(pages) or Labeller()
+    labeller = model or train(pages)
 
     def make():
         features = Features()

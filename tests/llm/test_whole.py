@@ -102,3 +102,26 @@ def test_features_read_whole_blocks_and_all_names():
     assert len(features.path(names)) == len(names) + 1
     long = "one two. " * 20_000
     assert np.allclose(features.text(long.strip())[8:], [np.log1p(len(long) - 1) / 4, np.log1p(40_000) / 2, 0.5])
+
+
+def _long_page(i):
+    """A page of over 60,000 characters and its article."""
+    links = "".join(f'<div class="zq">Link {i} {k}</div>' for k in range(1500))
+    prose = "".join(f"<p>Sentence {k} of the long page {i} goes on for some words.</p>" for k in range(1200))
+    return f"<body><nav>{links}</nav><article>{prose}</article></body>", prose
+
+
+def test_a_table_of_long_pages_trains_the_labeller(spark):
+    made = [_long_page(i) for i in range(8)]
+    assert all(len(markup) > 60_000 for markup, _ in made)
+    pages = spark.createDataFrame([(i, "u", markup) for i, (markup, _) in enumerate(made)], "page_id long, url string, html string")
+    for row in html.extract(pages).collect():
+        prose = made[row["page_id"]][1]
+        assert row["text"] == "\n\n".join(prose[3:-4].split("</p><p>"))
+
+
+def test_without_a_page_to_learn_from_made_sequences_train_the_labeller(spark):
+    model, none = html.train(spark.createDataFrame([], "page_id long, html string")), html.Labeller()
+    assert not np.array_equal(model.p["out"], none.p["out"])
+    page = html.leaves("<nav><ul><li><a>Home</a></ul></nav><article><h1>News</h1><p>The bridge opens on Monday, they said.</p></article><footer>Contact</footer>")
+    assert model.label(html.Features(), [page]) == [[False, True, True, False]]
