@@ -44,10 +44,12 @@ Leaf = tuple[tuple[str, ...], str]  # names on the path from the root, and the t
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe noembed noframes svg math object title".split())
+_RAW = frozenset("script style noscript iframe noembed noframes title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter q s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math semantics annotation maction menclose merror mfenced mfrac mi "
+    "mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr "
+    "munder munderover".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -63,7 +65,8 @@ _NOT_MAIN_NAMES = frozenset(
     "toolbar copyright legal".split()
 )
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[\"'])*+)>|!--|[!?/])")
+# A quote opens a value only after "=", so that a stray one does not swallow the page.
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|!--|[!?/])")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")

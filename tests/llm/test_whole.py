@@ -125,3 +125,16 @@ def test_without_a_page_to_learn_from_made_sequences_train_the_labeller(spark):
     assert not np.array_equal(model.p["out"], none.p["out"])
     page = html.leaves("<nav><ul><li><a>Home</a></ul></nav><article><h1>News</h1><p>The bridge opens on Monday, they said.</p></article><footer>Contact</footer>")
     assert model.label(html.Features(), [page]) == [[False, True, True, False]]
+
+
+def test_only_raw_text_elements_are_skipped_and_values_have_any_length():
+    def texts(markup):
+        return " | ".join(text for _, text in html.leaves(markup))
+
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>") == "Let x=2 here"
+    assert texts("<p>one</p><svg/><p>two</p><object data=x /><p>three</p>") == "one | two | three"
+    assert texts("<p>one</p><template><p>two</p>") == "one | two"
+    assert texts("<svg><p>one</p>") == "one" and texts("<object><p>fallback</p></object>") == "fallback"
+    assert texts(f'<p data-x="{"a > b " * 2000}">one</p>') == "one" and texts(f"<p data-x='{'>' * 9000}'>one</p>") == "one"
+    assert texts('<p title=">">one</p><a "x>two</a> <b class="y">three</b>') == "one | two three"
+    assert texts("<script>if (a > b) x()</script><style>p > a {}</style><title>t</title><p>one</p>") == "one"
