@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.llm import bpe, embeddings, html, language, lm, minhash, packing, pii, simhash, warc
+from lakelog.llm import bpe, embeddings, html, language, lm, minhash, packing, pii, simhash, token_files, warc
 from lakelog.llm.rows import table
+from lakelog.sinks.storage import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +17,9 @@ ORACLE: dict[str, str] = {}
 #: The vocabulary in its two forms; operators take the path as a parameter.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+#: The id that ends a document in token files.
+END_ID = 1
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -76,6 +80,12 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
 
 
+@query
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_files.write_and_read(docs, WORDS, fresh_path(spark, "tokens"), END_ID)
+
+
 ORACLE["op6_embeddings"] = """
 with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 links as (
