@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.llm import bpe, embeddings, html, language, lm, minhash, packing, pii, simhash, token_files, warc
+from lakelog.llm import bpe, embeddings, html, language, lexical, lm, minhash, packing, pii, simhash, spelling, token_files, warc
 from lakelog.llm.rows import table
 from lakelog.sinks.storage import fresh_path
 
@@ -86,6 +86,16 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.write_and_read(docs, WORDS, fresh_path(spark, "tokens"), END_ID)
 
 
+@query
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 ORACLE["op6_embeddings"] = """
 with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 links as (
@@ -110,3 +120,24 @@ select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest,
   case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
 from j
 """
+
+# Fixed value: what parts two terms is any ASCII character that is neither letter nor digit.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op12_lexical"] = f"""
+with t as (
+  select doc_id, term, count(*) as tf
+  from (select doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from documents) group by doc_id, term),
+n as (select doc_id, cast(sum(tf) as bigint) as n from t group by doc_id),
+c as (select count(*) as docs, cast(sum(n) as bigint) as tokens from n),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from t group by term), c),
+i as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from benchmark),
+s as (
+  select item_id, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // tokens)))) as bigint) as score
+  from i join t using (term) join n using (doc_id) join w using (term), c group by item_id, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from s where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, score from r where place <= 50
+"""

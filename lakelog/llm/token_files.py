@@ -57,11 +57,12 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian numbers of ``width`` bytes, by a vocabulary whose pre-tokens hold no white space.
+    """Ids of whole texts as little-endian numbers of ``width`` bytes.
 
-    A text may then be cut at every space, and two bounded memories keep what pieces and what single words encode to.
-    A new word goes to the library's model; a new piece is normalised and cut into words here if all its characters
-    are below U+0300, where composing changes nothing and classes of characters are old, and by the library otherwise.
+    With a vocabulary whose pre-tokens hold no white space, a text may be cut at every space, and two bounded memories
+    keep what pieces and what single words encode to. A new word goes to the library's model; a new piece is normalised
+    and cut into words here if all its characters are below U+0300, where composing changes nothing and classes of
+    characters are old, and by the library otherwise. Any other vocabulary gets whole texts through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,11 +89,15 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         lower = piece.lower()
-        if self.words is None or not (lower.isascii() or max(lower) < "\u0300") or self.specials.search(piece):
+        if not (lower.isascii() or max(lower) < "\u0300") or self.specials.search(piece):
             return self._whole(piece)
         return b"".join(map(self.by_word.__getitem__, self.words(lower)))
 
     def encode(self, text: str) -> bytes:
+        if self.words is None:
+            return self._whole(text)
+        if _is_latin(text) and not self.specials.search(text.lower()):
+            text = text.lower()  # letter by letter, as in the library; fewer pieces differ then
         return b"".join(map(self.by_piece.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -100,6 +105,14 @@ class Encoder:
 _PLAIN = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
 
 
+def _is_latin(text: str) -> bool:
+    """All characters are below U+0100."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def _byte_chars() -> list[str]:
     """The character that a byte-level vocabulary writes for each byte: itself if it is printable, else the next free one."""
     kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -133,10 +146,14 @@ def make_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
 def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> bytes:
     """The shared dictionary of a corpus, from ``sample`` documents of at most ``SAMPLE_BYTES`` that a hash chooses.
 
-    It serves short documents, so longer ones are not asked. Runs a job; only the dictionary comes to the driver.
+    It serves short documents, so longer ones are not asked. Four times as many documents of any length are looked at
+    as are wanted, so that few texts are moved. Runs a job; only the dictionary comes to the driver.
     """
-    short = docs.select(docs["doc_id"].cast("long"), docs["text"]).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    chosen = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).select("text")
+    size = F.octet_length("text")
+    by = F.xxhash64(docs["doc_id"].cast("long"), size)
+    looked_at = F.pmod(by, F.lit(max(1, docs.count()))) < 4 * sample
+    short = docs.select(docs["doc_id"].cast("long"), docs["text"]).filter(looked_at & (size <= SAMPLE_BYTES))
+    chosen = short.orderBy(by, "text").limit(sample).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
