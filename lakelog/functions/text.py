@@ -92,7 +92,7 @@ def seconds_text(duration_ms: Column) -> Column:
 def console_line(
     name: Column, row_status: Column, duration_ms: Column, exit_value: Column, error_class: Column, error: Column
 ) -> Column:
-    """``[BADGE]  name  seconds  suffix``; the caller puts a clock in front where one is wanted."""
+    """``[BADGE]  name  seconds  suffix``; ``clock`` makes what stands in front where a clock is wanted."""
     badge = F.upper(row_status)
     for word, label in BADGES.items():
         badge = F.when(row_status == word, F.lit(label)).otherwise(badge)
@@ -124,6 +124,11 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.translate(padded, " ", "T"), F.lit("+00:00"))
 
 
+def clock(ts: Column) -> Column:
+    """``HH:MM:SS`` of an instant in UTC, whatever the session zone."""
+    return F.substring(iso_utc(ts), 12, 8)
+
+
 def bad_characters(name: Column, pattern: str = BAD_CHARACTER) -> Column:
     """The distinct characters of a name that the pattern finds, sorted and joined."""
     found = F.regexp_extract_all(name, F.lit(pattern), F.lit(0))

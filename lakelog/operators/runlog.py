@@ -17,6 +17,7 @@ from lakelog.schemas import CHILD_KEY, RUN_KEY, RUNLOG, SKIPPED
 
 DEFAULT_TIMEOUT_SECONDS = 1800
 AUDITED_AT = "audited_at"
+DISPLAY_NAME = "display_name"
 
 
 def plan_defaults(plan: DataFrame, default_timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS) -> DataFrame:
@@ -75,20 +76,27 @@ def _halts(plan: DataFrame, outcome: DataFrame) -> DataFrame:
 
 
 def build_runlog(
-    plan: DataFrame, outcome: DataFrame, orchestrator_notebook: str = "", slice_bits: int = SLICE_BITS
+    plan: DataFrame,
+    outcome: DataFrame,
+    orchestrator_notebook: str = "",
+    slice_bits: int = SLICE_BITS,
+    display_names: bool = False,
 ) -> DataFrame:
     """Run-log rows without the write stamp: one row per child that ran or was skipped.
 
+    ``display_names`` adds the column ``display_name``, which console lines show and the log table does not hold.
+
     A planned child that neither ran nor was skipped (its run crashed) has no row. A skipped child starts and ends
     when the failure that caused the skip ended. The wide outcome rows are shuffled once, by child; the plan is
     shuffled by (run, slice) for the skip rule and by child for the outcome.
     """
-    spread = spread_over_children(_halts(plan, outcome), F.col("_halt"), F.col("_last"), slice_bits)
+    spread = spread_over_children(_halts(plan, outcome), F.col("_halt"), F.col("_last"), slice_bits, plan)
     planned = join_run_slices(plan, spread, "left", slice_bits).select(
         *CHILD_KEY,
         "pipeline_name",
         "path",
         "args",
+        *([text.display_name(F.col("name"), F.col("path")).alias(DISPLAY_NAME)] if display_names else []),
         (F.coalesce("fail_fast", F.lit(True)) & (F.col("child_index") > F.coalesce("_halt", "child_index"))).alias(
             "_skipped"
         ),
@@ -121,7 +129,8 @@ def build_runlog(
         "orchestrator_notebook": F.lit(orchestrator_notebook),
     }
     return rows.where(skipped | F.col("_ran")).select(
-        *[values[name].alias(name) if name in values else F.col(name) for name in RUNLOG.names if name != AUDITED_AT]
+        *[values[name].alias(name) if name in values else F.col(name) for name in RUNLOG.names if name != AUDITED_AT],
+        *([DISPLAY_NAME] if display_names else []),
     )
 
 
@@ -216,10 +225,19 @@ def completeness(plan: DataFrame, runlog: DataFrame) -> DataFrame:
     return counts.withColumn("missing", F.col("planned") - F.col("logged"))
 
 
-def console_lines(runlog: DataFrame, plan: DataFrame) -> DataFrame:
-    """One display line per run-log row, without the clock."""
-    names = plan.select(*CHILD_KEY, text.display_name(F.col("name"), F.col("path")).alias("_name"))
+def console_lines(runlog: DataFrame, plan: DataFrame | None = None, clock: bool = False) -> DataFrame:
+    """One display line per run-log row; with ``clock``, the time the child ended (UTC) stands in front.
+
+    Rows that carry their display name need no plan; for others it is looked up there.
+    """
+    if DISPLAY_NAME not in runlog.columns:
+        if plan is None:
+            raise ValueError(f"the rows have no column {DISPLAY_NAME}: give the plan they were built from")
+        names = plan.select(*CHILD_KEY, text.display_name(F.col("name"), F.col("path")).alias(DISPLAY_NAME))
+        runlog = runlog.join(names, CHILD_KEY)
     line = text.console_line(*[F.col(c) for c in (
-        "_name", "status", "duration_ms", "exit_value", "error_class", "error_message"
+        DISPLAY_NAME, "status", "duration_ms", "exit_value", "error_class", "error_message"
     )])
-    return runlog.join(names, CHILD_KEY).select(*CHILD_KEY, line.alias("line"))
+    if clock:
+        line = F.concat(F.lit("["), text.clock(F.col("finished_at")), F.lit("] "), line)
+    return runlog.select(*CHILD_KEY, line.alias("line"))

@@ -100,10 +100,15 @@ def child_slice(child_index: Column, bits: int) -> Column:
     return F.shiftright(child_index, bits)
 
 
-def spread_over_children(facts: DataFrame, first: Column, last: Column, bits: int) -> DataFrame:
-    """Copy a per-run row to each slice between two children of its run (one copy unless the run is huge)."""
-    slices = F.sequence(child_slice(first, bits), child_slice(last, bits))
-    return facts.withColumn(_SLICE, F.explode(slices))
+def spread_over_children(facts: DataFrame, first: Column, last: Column, bits: int, children: DataFrame) -> DataFrame:
+    """Copy a per-run row to each slice between two children of its run that holds children (one unless the run is huge).
+
+    The slices are those the children are in, not all numbers between the first and the last, so indices may be as far
+    apart as they like. Each task sends a (run, slice) once.
+    """
+    held = children.select(RUN_KEY, child_slice(F.col("child_index"), bits).alias(_SLICE)).distinct()
+    between = F.col(_SLICE).between(child_slice(first, bits), child_slice(last, bits))
+    return held.join(facts, RUN_KEY).where(between)
 
 
 def join_run_slices(children: DataFrame, spread: DataFrame, how: str, bits: int) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakelog.operators import logs, steps
 from lakelog.operators.search import Search
-from lakelog.plans.inputs import event_facts, given, step_facts
+from lakelog.plans.inputs import event_facts, given, step_facts, week_of
 from lakelog.plans.registry import query
 from lakelog.plans.runlog_queries import _SUMMARY, INPUT_SQL, _summary_micros, built_log
-from lakelog.schemas import CHILD_KEY, RUN_KEY, RUNLOG
+from lakelog.schemas import CHILD_KEY, RUN_KEY, RUN_SUMMARY, RUNLOG
 from lakelog.sinks.storage import fresh_path
 from lakelog.sinks.tables import ensure_log_table, write_lines
 from lakelog.streaming import sinks
@@ -150,10 +150,10 @@ def _staged_log(spark: SparkSession, folder: str, base: str) -> DataFrame:
 
 @query(INPUT_SQL + "select pipeline_run_id, child_index, status, started_us, finished_us, true as stamped from log")
 def stream_runlog_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Append a stream to the log table; then the whole stream again from the start, which adds nothing."""
+    """Append a stream to a log table by day; then the whole stream again from the start, which adds nothing."""
     base = fresh_path(spark, "append")
     table = "runlog_" + base[-32:]
-    ensure_log_table(spark, table, path=f"{base}/table")
+    ensure_log_table(spark, table, path=f"{base}/table", by_day=True)
     stream = _staged_log(spark, folder, base)
     for attempt in ("first", "replay"):
         sinks.append_runlog(stream, table, f"{base}/checkpoint-{attempt}").awaitTermination()
@@ -175,6 +175,34 @@ def stream_run_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _summary_micros(sinks.read_live_summary(spark, f"{base}/summary"))
 
 
+#: A run is over when no child has ended for twelve hours; rows may come eight days later than others.
+_IDLE_HOURS, _LATE_DAYS = 12, 8
+
+
+@query(
+    INPUT_SQL
+    + f""", follows as (select *, max(finished_us) over () as newest, finished_us - lag(finished_us)
+      over (partition by pipeline_run_id order by finished_us, child_index) as gap from log),
+    parts as (select *, sum(case when gap <= {_IDLE_HOURS} * 3600000000 then 0 else 1 end)
+      over (partition by pipeline_run_id order by finished_us, child_index) as part from follows)
+    select pipeline_run_id, count(*) as children,
+      cast(sum(case when status = 'failed' then 1 else 0 end) as bigint) as failed, min(started_us) as run_start_us,
+      max(finished_us) as run_end_us from parts group by pipeline_run_id, part, newest
+    having max(finished_us) + {_IDLE_HOURS} * 3600000000 <= newest // 1000 * 1000 - {_LATE_DAYS} * 86400000000"""
+)
+def stream_closed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The log arrives week by week; runs are reported when they are over, and only open ones stay in the state."""
+    base = fresh_path(spark, "closed")
+    built_log(spark, folder).write.parquet(f"{base}/log")
+    stored = spark.read.parquet(f"{base}/log")
+    for week in range(5):
+        stored.where(week_of(F.col("finished_at")) == week).write.mode("append").parquet(f"{base}/rows")
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/rows")
+    idle, late = f"{_IDLE_HOURS} hours", f"{_LATE_DAYS} days"
+    sinks.report_closed_runs(stream, f"{base}/closed", f"{base}/checkpoint", idle, late).awaitTermination()
+    return _summary_micros(spark.read.schema(RUN_SUMMARY).parquet(f"{base}/closed"))
+
+
 @query("select event_id, event_type from events where contains(event_type, 'error') and ts < timestamp '2024-01-16'")
 def stream_search(spark: SparkSession, folder: str) -> DataFrame:
     """A standing search over the events as they arrive."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakelog.functions import text
@@ -139,26 +141,6 @@ def runlog_skip(spark: SparkSession, folder: str) -> DataFrame:
     return runlog.build_runlog(plan.where("fail_fast"), outcome).select(*CHILD_KEY, "status")
 
 
-@query(
-    INPUT_SQL
-    + """select pipeline_run_id as planned_run, cast(1 as bigint) as ids, fail_fast as supplied, not fail_fast as fresh,
-    count(*) as children from plan group by pipeline_run_id, fail_fast"""
-)
-def runlog_run_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Half of the runs bring their id and keep it; each of the others gets one fresh version-4 id."""
-    plan, _ = plan_and_outcome(spark, folder)
-    asked = plan.withColumn("planned_run", F.col(RUN_KEY)).withColumn(RUN_KEY, F.when(F.col("fail_fast"), F.col(RUN_KEY)))
-    stamped = runlog.with_run_ids(asked, ["pipeline_name", "planned_run"])
-    uuid4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-    ids = stamped.groupBy("planned_run", RUN_KEY).agg(F.count("*").alias("n"))
-    return ids.groupBy("planned_run").agg(
-        F.count("*").alias("ids"),
-        F.bool_and(F.col(RUN_KEY) == F.col("planned_run")).alias("supplied"),
-        F.bool_and(F.col(RUN_KEY).rlike(uuid4)).alias("fresh"),
-        F.sum("n").alias("children"),
-    )
-
-
 @query(INPUT_SQL + "select pipeline_run_id, child_index, own as status from st")
 def runlog_run_all(spark: SparkSession, folder: str) -> DataFrame:
     """Without fail-fast every child keeps its own status."""
@@ -210,22 +192,37 @@ def runlog_null_guard(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select(*CHILD_KEY, broken, (F.size("null_columns") == 0).alias("valid"))
 
 
-@query(
+_LINES = (
     INPUT_SQL
     + """, shown as (select *, coalesce(name,
-      nullif(regexp_extract(regexp_replace(notebook_path, '/+$', ''), '([^/]*)$', 1), ''), notebook_path) as label from log)
-    select pipeline_run_id, child_index, concat(
+      nullif(regexp_extract(regexp_replace(notebook_path, '/+$', ''), '([^/]*)$', 1), ''), notebook_path) as label from log),
+    lines as (select pipeline_run_id, child_index, finished_us, concat(
       rpad(concat('[', case status when 'ok' then 'OK' when 'failed' then 'FAIL' when 'timeout' then 'TIME' else 'SKIP' end, ']'), 8, ' '),
       ' ', rpad(label, 18, ' '), ' ',
       case when status = 'skipped' then '       ' else concat(format('{:6.2f}', duration_ms / 1000.0::double), 's') end, '  ',
       case status when 'skipped' then '(fail_fast)' when 'ok' then concat('exit=', exit_value)
-        else concat(error_class, ': ', error_message) end) as line from shown"""
+        else concat(error_class, ': ', error_message) end) as line from shown)"""
 )
+
+
+@query(_LINES + "select pipeline_run_id, child_index, line from lines")
 def runlog_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a log that does not hold the display names: they are looked up in the plan."""
     plan, outcome = plan_and_outcome(spark, folder)
     return runlog.console_lines(runlog.build_runlog(plan, outcome), plan)
 
 
+@query(
+    _LINES
+    + """select pipeline_run_id, child_index,
+    concat('[', strftime(make_timestamp(finished_us), '%H:%M:%S'), '] ', line) as line from lines"""
+)
+def runlog_line_clock(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as a console shows them, from rows that carry their display name."""
+    rows = runlog.build_runlog(*plan_and_outcome(spark, folder), display_names=True)
+    return runlog.console_lines(rows, clock=True)
+
+
 @query(INPUT_SQL + f"select {_LOG_COLUMNS}, true as stamped from log")
 def runlog_stage(spark: SparkSession, folder: str) -> DataFrame:
     """Times arrive as ISO strings with an offset and in any column order."""
@@ -309,6 +306,21 @@ def run_summary_top20(spark: SparkSession, folder: str) -> DataFrame:
     return _summary_micros(reports.latest_runs(built_log(spark, folder), "p1"))
 
 
+@query(
+    INPUT_SQL
+    + _SUMMARY
+    + """where started_us >= epoch_us(timestamp '2024-01-20') group by pipeline_run_id
+    order by run_start_us desc, pipeline_run_id limit 50"""
+)
+def run_summary_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest fifty runs of a log that is partitioned by day, reading the days since one; the cut is the report."""
+    path = fresh_path(spark, "runlog")
+    table = "runlog_" + path[-32:]
+    ensure_log_table(spark, table, path=path, by_day=True)
+    append_rows(built_log(spark, folder), table)
+    return _summary_micros(reports.latest_runs(spark.table(table), runs=50, since=dt.date(2024, 1, 20)))
+
+
 @query(
     INPUT_SQL
     + """, activity as (select concat('r', c_custkey, '-', w) as run, c_mktsegment as trigger_name

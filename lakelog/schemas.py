@@ -23,6 +23,8 @@ RUNLOG = _struct(
     "audited_at timestamp",
     nullable=False,
 )
+#: The column that a run log partitioned by day has behind the fifteen: the UTC day a child started on.
+DAY = "started_on"
 OK, FAILED, TIMEOUT, SKIPPED = "ok", "failed", "timeout", "skipped"
 
 # One row per planned child; the run header repeats on each of its children.
@@ -46,6 +48,10 @@ LOG_RECORDS = _struct(
 # The keys of a JSON log line, in line order. Attribute and metric maps stay off the line.
 LOG_LINE_KEYS = [f.name for f in LOG_RECORDS.fields if f.name not in ("attrs", "metrics")]
 
+RUN_SUMMARY = _struct(
+    "pipeline_run_id string, children long, failed long, run_start timestamp, run_end timestamp"
+)
+
 LAKE_COLUMNS = _struct("database string, table string, column string, data_type string, ordinal integer")
 SKIPPED_TABLES = _struct("database string, table string, reason string")
 RUN_KEY = "pipeline_run_id"

@@ -6,30 +6,20 @@ import datetime as dt
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakelog.operators.search import TABLE_NO, Lake, Search, skipped_tables, table_matches, with_messages
+from lakelog.operators.search import FAILURES, TABLE_NO, Lake, Search, skipped_tables, table_columns, with_messages
 from lakelog.schemas import SKIPPED_TABLES
-from lakelog.sinks.storage import fresh_path
 
-_FAILURES = (PySparkException, Py4JJavaError)
 _MATCHES = "row_json string, database string, table string"
 
 
-def _write_table(spark: SparkSession, name: tuple[str, str], df: DataFrame, search: Search, path: str) -> bool:
+def _write_table(name: tuple[str, str], df: DataFrame, search: Search, path: str) -> bool:
     """Write the matches of one table, read once; whether a cap cut them."""
     rows = search.matching(df)
     if rows is None:
         return False
-    kept, cut = table_matches(name, search.limited(rows, extra=1)), False
-    if search.cap is not None:  # one row beyond the cap tells whether there are more; these few rows are one partition
-        staged = fresh_path(spark, "capped")
-        kept.coalesce(1).withColumn("row_no", F.monotonically_increasing_id()).write.parquet(staged)
-        numbered = spark.read.schema(f"{_MATCHES}, row_no long").parquet(staged)
-        cut = not numbered.where(F.col("row_no") >= search.cap).isEmpty()
-        kept = numbered.where(F.col("row_no") < search.cap).drop("row_no")
+    kept, cut = search.limited(rows, table_columns(name, rows))
     kept.write.mode("overwrite").partitionBy("database", "table").parquet(path)
     return cut
 
@@ -46,8 +36,8 @@ def write_search(
 
     def one(number: int, name: tuple[str, str]) -> tuple[bool, str | None]:
         try:
-            return _write_table(spark, name, lake[name], search, f"{dest}/matches/{TABLE_NO}={number}"), None
-        except _FAILURES as error:
+            return _write_table(name, lake[name], search, f"{dest}/matches/{TABLE_NO}={number}"), None
+        except FAILURES as error:
             return False, str(error).splitlines()[0]
 
     with ThreadPoolExecutor(jobs) as pool:

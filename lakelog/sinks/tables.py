@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakelog.operators.runlog import require_not_null, stage
-from lakelog.schemas import CHILD_KEY, RUNLOG
+from lakelog.schemas import CHILD_KEY, DAY, RUNLOG
 
 FORMAT = "parquet"
 
 
-def ensure_log_table(spark: SparkSession, table: str, fmt: str = FORMAT, path: str | None = None) -> None:
-    """Create the run-log table, and its database if the name has one, unless it exists."""
+def day_of(started_at: Column) -> Column:
+    """The UTC day of an instant, whatever the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(started_at) / 86_400_000_000).cast("int"))
+
+
+def ensure_log_table(
+    spark: SparkSession, table: str, fmt: str = FORMAT, path: str | None = None, by_day: bool = False
+) -> None:
+    """Create the run-log table, and its database if the name has one, unless it exists.
+
+    ``by_day`` partitions it by the day children started on, in one more column: appends then look for known children
+    on the days of their batch only, and reports of recent runs read recent days.
+    """
     if spark.catalog.tableExists(table):
         return
     database, _, _ = table.rpartition(".")
     if database:
         parts = [f"`{part.strip('`')}`" for part in database.split(".")]
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {'.'.join(parts)}")
-    writer = spark.createDataFrame([], RUNLOG).write.format(fmt).mode("ignore")
+    empty = spark.createDataFrame([], RUNLOG)
+    if by_day:
+        writer = empty.withColumn(DAY, day_of(F.col("started_at"))).write.partitionBy(DAY)
+    else:
+        writer = empty.write
+    writer = writer.format(fmt).mode("ignore")
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
@@ -26,35 +42,60 @@ def append_rows(rows: DataFrame, table: str, fmt: str = FORMAT, write: bool = Tr
     """Append a batch in one commit, columns by name; an empty batch commits nothing.
 
     ISO time strings are read as timestamps, ``audited_at`` is stamped, and a null in any column fails the job
-    before the commit. ``write=False`` is the dry run: it returns the rows as they would be written.
+    before the commit. ``write=False`` is the dry run: it returns the rows as they would be written. The rows are
+    computed once: a table by day needs no look at whether there are any, as no rows make no partition, and for
+    another table they are kept until they are written.
     """
     staged = require_not_null(stage(rows))
     if not write:
         return staged
-    if not rows.isEmpty():
-        staged.write.format(fmt).mode("append").saveAsTable(table)
+    if _is_by_day(rows.sparkSession, table):
+        # Neighbouring tasks' rows of a day meet in one file, and a day of very many rows is split again.
+        days = staged.withColumn(DAY, day_of(F.col("started_at"))).hint("rebalance", F.col(DAY))
+        days.write.format(fmt).mode("append").partitionBy(DAY).saveAsTable(table)
+        return None
+    staged = staged.persist()
+    try:
+        if not staged.isEmpty():
+            staged.write.format(fmt).mode("append").saveAsTable(table)
+    finally:
+        staged.unpersist()
     return None
 
 
+def _is_by_day(spark: SparkSession, table: str) -> bool:
+    return DAY in spark.table(table).columns
+
+
 def append_new_rows(rows: DataFrame, table: str, fmt: str = FORMAT) -> None:
     """Append the rows whose (run, child) the table lacks, so a batch that comes twice is written once.
 
     The table gives up its key columns only, and keeps those the batch asks for before anything is compared:
-    the batch's keys are the small side of that join.
+    the batch's keys are the small side of that join. In a table by day a child is looked for on the day it started
+    on, which a second delivery does not change: only the days of the batch are read.
     """
     spark = rows.sparkSession
     batch = rows.dropDuplicates(CHILD_KEY).persist()
     try:
-        keys = batch.select(*CHILD_KEY)
-        known = spark.table(table).select(*CHILD_KEY).join(keys, CHILD_KEY, "left_semi").distinct()
+        known = known_children(batch, spark.table(table))
         append_rows(batch.join(known, CHILD_KEY, "left_anti"), table, fmt)
     finally:
         batch.unpersist()
 
 
+def known_children(batch: DataFrame, log: DataFrame) -> DataFrame:
+    """The (run, child) keys of the batch that the log holds. Runs a job on the batch if the log is by day."""
+    keys = batch.select(*CHILD_KEY)
+    if DAY in log.columns:
+        started = F.to_timestamp("started_at") if dict(batch.dtypes)["started_at"] == "string" else F.col("started_at")
+        days = [r[0] for r in batch.select(day_of(started)).distinct().collect()]  # a row per calendar day
+        log = log.where(F.col(DAY).isin(days))
+    return log.select(*CHILD_KEY).join(keys, CHILD_KEY, "left_semi").distinct()
+
+
 def read_runlog(spark: SparkSession, table: str) -> DataFrame:
     """The run log, ordered by run and child."""
-    return spark.table(table).orderBy(*CHILD_KEY)
+    return spark.table(table).select(*RUNLOG.names).orderBy(*CHILD_KEY)
 
 
 def save_dirty_columns(dirty: DataFrame, table: str, fmt: str = FORMAT) -> None:

@@ -1,11 +1,13 @@
 """The lake as the catalog lists it.
 
-Listing is a conversation between the driver and the metastore about names and schemas; no table data is read.
+Listing is a conversation between the driver and the metastore about names and schemas; no table data is read. Most of
+it is waiting, so ``jobs`` databases or tables are asked for at a time; results keep the order of the names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,9 @@ from lakelog.schemas import LAKE_COLUMNS, SKIPPED_TABLES
 # Databases an audit leaves out unless told otherwise.
 SKIP_DATABASES = ("default", "information_schema")
 
+# Fixed value: how many questions to the metastore run side by side.
+JOBS = 16
+
 Name = tuple[str, str]
 
 
@@ -32,32 +37,44 @@ def databases(
     return kept, [name for name in wanted if name not in listed]
 
 
-def table_names(spark: SparkSession, names: Iterable[str]) -> tuple[list[Name], list[tuple[str, str, str]]]:
+def table_names(
+    spark: SparkSession, names: Iterable[str], jobs: int = JOBS
+) -> tuple[list[Name], list[tuple[str, str, str]]]:
     """``(database, table)`` pairs, and ``(database, "", reason)`` for databases that cannot be listed.
 
     Temporary views show up in every database's listing and belong to none; they are left out.
     """
-    pairs, failed = [], []
-    for database in names:
+
+    def listed(database: str) -> tuple[list[Name], list[tuple[str, str, str]]]:
         try:
             rows = spark.sql(f"SHOW TABLES IN {quoted_name(database)}").where("NOT isTemporary").collect()
         except PySparkException as error:
-            failed.append((database, "", str(error).splitlines()[0]))
-            continue
-        pairs.extend((database, row["tableName"]) for row in rows)
-    return pairs, failed
+            return [], [(database, "", str(error).splitlines()[0])]
+        return [(database, row["tableName"]) for row in rows], []
+
+    with ThreadPoolExecutor(jobs) as pool:
+        found = list(pool.map(listed, names))
+    return [pair for pairs, _ in found for pair in pairs], [f for _, failed in found for f in failed]
 
 
-def read_lake(spark: SparkSession, pairs: Iterable[Name]) -> tuple[dict[Name, DataFrame], DataFrame]:
+def read_lake(
+    spark: SparkSession, pairs: Iterable[Name], jobs: int = JOBS
+) -> tuple[dict[Name, DataFrame], DataFrame]:
     """Tables and views through the catalog, schema from the metastore, and a DataFrame of those that fail."""
-    lake, failed = {}, []
-    for database, table in pairs:
+
+    def resolved(name: Name) -> DataFrame | str:
         try:
-            lake[database, table] = spark.table(f"{quoted_name(database)}.{quoted_name(table)}")
-            lake[database, table].schema  # resolves a view over something that is gone
+            df = spark.table(f"{quoted_name(name[0])}.{quoted_name(name[1])}")
+            df.schema  # resolves a view over something that is gone
+            return df
         except PySparkException as error:
-            lake.pop((database, table), None)
-            failed.append((database, table, str(error).splitlines()[0]))
+            return str(error).splitlines()[0]
+
+    pairs = list(pairs)
+    with ThreadPoolExecutor(jobs) as pool:
+        found = dict(zip(pairs, pool.map(resolved, pairs), strict=True))
+    lake = {name: df for name, df in found.items() if isinstance(df, DataFrame)}
+    failed = [(*name, reason) for name, reason in found.items() if not isinstance(reason, DataFrame)]
     return lake, spark.createDataFrame(failed, SKIPPED_TABLES)
 
 

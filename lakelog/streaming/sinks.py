@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lakelog.operators.logs import from_lines
-from lakelog.operators.reports import run_summary
-from lakelog.schemas import RUN_KEY
+from lakelog.operators.reports import closed_runs
 from lakelog.sinks.tables import FORMAT, append_new_rows
+from lakelog.streaming.spans import FOLD, read_summary, save_batch
 
 
 def _writer(stream: DataFrame, checkpoint: str, mode: str, continuous: str | None) -> DataStreamWriter:
@@ -45,21 +45,28 @@ def append_runlog(
     )
 
 
-def live_summary(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the run summary of a run-log stream.
+def live_summary(
+    rows: DataFrame, path: str, checkpoint: str, every: str | None = None, fold: int = FOLD
+) -> StreamingQuery:
+    """Keep the run summary of a run-log stream, exact however late a row comes.
 
-    Update mode: a micro-batch writes the runs it changed, into a folder named after the batch. A replayed batch
-    overwrites its own folder.
+    Summaries of batches add up, so the stream keeps no state: a micro-batch writes the runs it has rows of, and every
+    ``fold`` batches their folders become one. ``path`` belongs to one checkpoint.
     """
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return _writer(run_summary(rows), checkpoint, "update", every).foreachBatch(save).start()
+    return (
+        _writer(rows, checkpoint, "append", every)
+        .foreachBatch(lambda batch, batch_id: save_batch(batch, batch_id, path, fold))
+        .start()
+    )
 
 
 def read_live_summary(spark: SparkSession, path: str) -> DataFrame:
     """The newest state of every run that ``live_summary`` wrote."""
-    changes = spark.read.parquet(path)
-    values = [c for c in changes.columns if c not in (RUN_KEY, "batch_id")]
-    return changes.groupBy(RUN_KEY).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
+    return read_summary(spark, path)
+
+
+def report_closed_runs(
+    rows: DataFrame, path: str, checkpoint: str, idle: str, late: str, every: str | None = None
+) -> StreamingQuery:
+    """Append the summary of every run once it is over; see ``closed_runs``."""
+    return append_files(closed_runs(rows, idle, late), path, checkpoint, every)
