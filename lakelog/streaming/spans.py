@@ -55,6 +55,21 @@ def _read(spark: SparkSession, path: str, spans: list[Span]) -> DataFrame:
     return spark.read.schema(RUN_SUMMARY).parquet(*[f"{path}/{_name(s)}" for s in spans])
 
 
+def folds_after(batch_id: int, fold: int) -> list[Span]:
+    """The spans that are complete with this batch, narrow ones first."""
+    made, width = [], fold
+    while (batch_id + 1) % width == 0:
+        made.append((batch_id + 1 - width, batch_id))
+        width *= fold
+    return made
+
+
+def replaced(there: list[Span], made: list[Span]) -> list[Span]:
+    """Spans that lie in another one which was there before ``made``: no reader can still be on its way to them."""
+    older = [s for s in there if s not in made]
+    return [s for s in there if any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in older)]
+
+
 def save_batch(batch: DataFrame, batch_id: int, path: str, fold: int = FOLD) -> None:
     """Write the summary of a micro-batch's rows, and fold what is complete with it.
 
@@ -62,22 +77,18 @@ def save_batch(batch: DataFrame, batch_id: int, path: str, fold: int = FOLD) ->
     """
     spark = batch.sparkSession
     run_summary(batch).write.mode("overwrite").parquet(f"{path}/{_name((batch_id, batch_id))}")
-    made, width = [], fold
-    while (batch_id + 1) % width == 0:
-        span = (batch_id + 1 - width, batch_id)
-        there = committed_spans(spark, path)
+    made = folds_after(batch_id, fold)
+    if not made:
+        return
+    there = committed_spans(spark, path)
+    for span in made:
         if span not in there:
             parts = widest([s for s in there if span[0] <= s[0] and s[1] <= span[1]])
             merge_summaries(_read(spark, path, parts)).write.mode("overwrite").parquet(f"{path}/{_name(span)}")
-        made.append(span)
-        width *= fold
-    if made:
-        root, files = _files(spark, path)
-        there = committed_spans(spark, path)
-        wide = [s for s in there if s not in made]
-        for inner in there:
-            if any(s != inner and s[0] <= inner[0] and inner[1] <= s[1] for s in wide):
-                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_name(inner)}"), True)
+            there = sorted([*there, span])
+    _, files = _files(spark, path)
+    for span in replaced(there, made):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_name(span)}"), True)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
