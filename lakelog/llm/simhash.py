@@ -274,9 +274,15 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
 
 
 def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with the row of each group whose id is the group's ``component_id``."""
+    """``docs`` with the row of each group whose id is the group's ``component_id``.
+
+    Of rows that are equal in id and text, one stays, whatever their other columns hold.
+    """
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component_key"])
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    name = "_text"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows[name] == kept["_hash"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)

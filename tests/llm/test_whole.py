@@ -30,7 +30,11 @@ def _least_of_groups(texts):
     return {find(i) for i in sets}
 
 
-def test_the_stage_keeps_one_of_each_group_at_jaccard_0_8(spark):
+@pytest.mark.parametrize("stars, block", [(alike.STARS, alike.BLOCK), (0, 3)])
+def test_the_stage_keeps_one_of_each_group_at_jaccard_0_8(spark, monkeypatch, stars, block):
+    """With the usual rounds, and with all pairs left to the blocks of the last one."""
+    monkeypatch.setattr(alike, "STARS", stars)
+    monkeypatch.setattr(alike, "BLOCK", block)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     numbers = np.random.default_rng(6)
     made, schema = [], docs.schema
@@ -43,10 +47,38 @@ def test_the_stage_keeps_one_of_each_group_at_jaccard_0_8(spark):
             made.append((20_000 + 10 * base + copy, " ".join(edited), "en", "s", 0))
     source = docs.union(spark.createDataFrame(made, schema))
     texts = {r["doc_id"]: r["text"] or "" for r in source.collect()}
-    found = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, source, FOLDER).collect()]
+    found = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, source, FOLDER).collect()]
     assert sorted(found) == sorted(_least_of_groups(texts))
 
 
+def test_one_of_each_keeps_columns_whose_names_clash(spark):
+    columns = "doc_id long, text string, _text string, node long, key string, n long, component string, hashes string"
+    rows = [(i, t, "kept", 1, "k", 2, "c", "h") for i, t in [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, "")]]
+    found = alike.one_of_each(spark.createDataFrame(rows, columns))
+    assert found.columns == [c.split()[0] for c in columns.split(", ")]
+    assert sorted(map(tuple, found.collect())) == sorted({r for r in rows if r[0] in (1, 2)})
+
+
+def test_the_last_round_counts_a_pair_once(spark):
+    """Sets that share several bands are compared under the first of them."""
+    numbers, sets = np.random.default_rng(3), {}
+    base = np.unique(numbers.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    for node in range(30):
+        sets[node] = np.unique(np.r_[base[: 300 + 3 * node], numbers.integers(0, 1 << 63, 20, dtype=np.uint64)])
+    bins = {i: alike.bins_of(s, alike._BINS) for i, s in sets.items()}
+    rows = [
+        (i, len(s), alike._keys(bins[i]), bytearray(bins[i].astype(np.uint8).tobytes()), i % 25, band, key)
+        for i, s in sets.items()
+        for band, key in enumerate(alike._keys(bins[i]))
+    ]
+    frame = spark.createDataFrame(rows, "node long, n long, keys array<long>, bins binary, component long, band int, key long")
+    found = [tuple(sorted(r)) for r in alike._met_in_blocks(frame, 0.8).collect()]
+    assert len(found) == len(set(found))
+    close = {(a, b) for a in sets for b in sets if a < b and a % 25 != b % 25 and alike._jaccard(sets[a], sets[b]) >= 0.8}
+    met = {(a, b) for a, b in close if set(alike._keys(bins[a])) & set(alike._keys(bins[b]))}
+    assert met <= set(found) and len(met) > 0.99 * len(close)
+
+
 def test_bands_meet_at_the_threshold():
     numbers = np.random.default_rng(8)
     for shared in (8, 40, 400):  # of 10, 50, 500: similarity 0.8
