@@ -69,19 +69,26 @@ def with_next(
 ) -> DataFrame:
     """The value of the row that follows in the group's order; null for the last row. Values must not be null.
 
-    The last row of a slice finds its follower among the first values of the later slices of its block, the last row
-    of a block among those of the later blocks. Rows that have theirs keep to their slice meanwhile, so the rows go
-    through three shuffles in a line and their source is read once.
+    The rows are shuffled once, to their slices, where all but the last of a slice find their follower. What goes on to
+    the blocks, and from there to the whole groups, is the first and the last row of each slice and block. Both parts
+    of a step read the same shuffle, as both need all columns of their rows.
     """
-    at_slice, at_block = F.shiftright(_AT, bits), F.shiftright(F.shiftright(_AT, bits), bits)
-    settled = F.when(F.col(out).isNotNull(), at_slice)
-    rows = df.withColumns({_KEY: F.struct(*keys), _AT: at.cast("long"), "_head": F.col(value)})
-    rows = rows.withColumn(out, F.lit(None).cast(rows.schema[value].dataType))
-    for group, by in [([at_slice], list(order)), ([at_block, settled], [_AT]), ([settled], [_AT])]:
-        window = Window.partitionBy(_KEY, *group).orderBy(*by)
-        first = F.first("_head").over(window.rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumns({out: F.coalesce(out, F.lead("_head").over(window)), "_head": first})
-    return rows.drop(_KEY, _AT, "_head")
+    at_slice = F.shiftright(_AT, bits)
+    groups = [[_KEY, at_slice], [_KEY, F.shiftright(at_slice, bits)], [_KEY]]
+    none = F.lit(None).cast(df.schema[value].dataType)
+    rows = df.withColumns({_KEY: F.struct(*keys), _AT: at.cast("long"), out: none, "_open": F.lit(True)})
+    found = []
+    for group in groups:
+        window = Window.partitionBy(*group).orderBy(_AT, *order)
+        rows = rows.withColumns(
+            {out: F.coalesce(out, F.lead(value).over(window)), "_first": F.row_number().over(window) == 1}
+        )
+        last = group == groups[-1]
+        found.append(rows.where(F.col("_open") if last else F.col("_open") & F.col(out).isNotNull()))
+        rows = rows.where(F.col(out).isNull() | F.col("_first"))
+        rows = rows.withColumn("_open", F.col("_open") & F.col(out).isNull()).drop("_first")
+    found = [part.drop(_KEY, _AT, "_open", "_first") for part in found]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def with_running_max(

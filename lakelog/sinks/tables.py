@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from lakelog.operators.runlog import require_not_null, stage
-from lakelog.schemas import CHILD_KEY, DAY, RUNLOG
+from lakelog.schemas import CHILD_KEY, DAY, RUN_KEY, RUNLOG
 
 FORMAT = "parquet"
 
@@ -16,12 +16,19 @@ def day_of(started_at: Column) -> Column:
 
 
 def ensure_log_table(
-    spark: SparkSession, table: str, fmt: str = FORMAT, path: str | None = None, by_day: bool = False
+    spark: SparkSession,
+    table: str,
+    fmt: str = FORMAT,
+    path: str | None = None,
+    by_day: bool = False,
+    buckets: int | None = None,
 ) -> None:
     """Create the run-log table, and its database if the name has one, unless it exists.
 
     ``by_day`` partitions it by the day children started on, in one more column: appends then look for known children
-    on the days of their batch only, and reports of recent runs read recent days.
+    on the days of their batch only, and reports of recent runs read recent days. ``buckets`` deals its files by run
+    id: reports by run, and joins with anything else dealt by run, then move no row of the log. A run's rows share a
+    bucket, so this is for logs in which no single run holds a large share; Delta has no buckets.
     """
     if spark.catalog.tableExists(table):
         return
@@ -34,7 +41,7 @@ def ensure_log_table(
         writer = empty.withColumn(DAY, day_of(F.col("started_at"))).write.partitionBy(DAY)
     else:
         writer = empty.write
-    writer = writer.format(fmt).mode("ignore")
+    writer = _bucketed(writer.format(fmt).mode("ignore"), buckets)
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
@@ -49,24 +56,38 @@ def append_rows(rows: DataFrame, table: str, fmt: str = FORMAT, write: bool = Tr
     staged = require_not_null(stage(rows))
     if not write:
         return staged
-    if _is_by_day(rows.sparkSession, table):
+    spark = rows.sparkSession
+    buckets = _buckets(spark, table)
+    if _is_by_day(spark, table):
         # Neighbouring tasks' rows of a day meet in one file, and a day of very many rows is split again.
-        days = staged.withColumn(DAY, day_of(F.col("started_at"))).hint("rebalance", F.col(DAY))
-        days.write.format(fmt).mode("append").partitionBy(DAY).saveAsTable(table)
+        days = staged.withColumn(DAY, day_of(F.col("started_at")))
+        days = days.repartition(buckets, RUN_KEY) if buckets else days.hint("rebalance", F.col(DAY))
+        _bucketed(days.write.format(fmt).mode("append").partitionBy(DAY), buckets).saveAsTable(table)
         return None
     staged = staged.persist()
     try:
         if not staged.isEmpty():
-            staged.write.format(fmt).mode("append").saveAsTable(table)
+            dealt = staged.repartition(buckets, RUN_KEY) if buckets else staged  # a file for each bucket
+            _bucketed(dealt.write.format(fmt).mode("append"), buckets).saveAsTable(table)
     finally:
         staged.unpersist()
     return None
 
 
+def _bucketed(writer: DataFrameWriter, buckets: int | None) -> DataFrameWriter:
+    return writer.bucketBy(buckets, RUN_KEY).sortBy(*CHILD_KEY) if buckets else writer
+
+
 def _is_by_day(spark: SparkSession, table: str) -> bool:
     return DAY in spark.table(table).columns
 
 
+def _buckets(spark: SparkSession, table: str) -> int | None:
+    """In how many files by run id the table is dealt, if it is."""
+    facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    return None if facts is None else int(facts["data_type"])
+
+
 def append_new_rows(rows: DataFrame, table: str, fmt: str = FORMAT) -> None:
     """Append the rows whose (run, child) the table lacks, so a batch that comes twice is written once.
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lakelog.operators import reports, runlog
+from lakelog.operators import reports, runlog, steps
 from lakelog.schemas import CHILD_KEY, DAY, RUNLOG
 from lakelog.sinks.tables import append_new_rows, append_rows, day_of, ensure_log_table, known_children, read_runlog
 from lakelog.streaming import sinks, spans
@@ -205,6 +205,47 @@ def test_the_rows_of_an_append_are_computed_once(spark, tmp_path):
         spark.sql("drop database once cascade")
 
 
+def _exchanges(df):
+    """What the executed plan moves between tasks, after adaptive planning."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
+
+
+@pytest.mark.parametrize("by_day", [False, True])
+def test_reports_on_a_log_dealt_by_run_move_none_of_its_rows(spark, by_day):
+    ensure_log_table(spark, "dealt.log", by_day=by_day, buckets=4)
+    try:
+        append_rows(week(spark, ("a", "b", "c")), "dealt.log")
+        append_rows(week(spark, ("d",)), "dealt.log")
+        append_rows(week(spark).limit(0), "dealt.log")
+        log = spark.table("dealt.log")
+        assert log.count() == 28
+        assert _exchanges(reports.run_summary(log)) == []
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            activity = spark.createDataFrame([("a", "x"), ("d", "y")], "pipeline_run_id string, trigger_name string")
+            moved = _exchanges(reports.with_activity(log, activity))
+            assert len(moved) == 1 and reports.with_activity(log, activity).count() == 14
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert rows_of(reports.run_summary(log)) == rows_of(reports.run_summary(week(spark, ("a", "b", "c", "d"))))
+    finally:
+        spark.sql("drop database dealt cascade")
+
+
+def test_open_steps_shuffle_their_rows_once(spark):
+    records = spark.createDataFrame(
+        [("r", "s", NOON + dt.timedelta(minutes=i), "start" if i % 3 else "ok") for i in range(200)],
+        "pipeline_run_id string, step string, ts timestamp, phase string",
+    )
+    opened = steps.open_steps(records)
+    assert opened.count() == 67
+    opened.collect()
+    plan = opened._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+
+
 # ------------------------------------------------------------------ the run log itself
 
 
