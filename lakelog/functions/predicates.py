@@ -27,6 +27,10 @@ from lakelog.functions.terms import Term, as_day
 
 AND, OR = "AND", "OR"
 
+#: Up to so many terms a text is lower-cased for each of them, in generated code; for more it is lower-cased once, by an
+#: array function that stands outside generated code. One regular expression for all terms was slower than either.
+LOWERED_EACH = 2
+
 
 def quoted(name: str) -> Column:
     """The top-level column of this exact name, whatever characters the name holds."""
@@ -63,7 +67,7 @@ def _holds(column: Column, kind: DataType, terms: Sequence[Term], case_sensitive
     if isinstance(kind, StringType):
         if case_sensitive:
             return _fold([column.contains(t.text) for t in terms], _OR)
-        if len(terms) == 1:
+        if len(terms) <= LOWERED_EACH:
             return _contains(F.lower(column), terms)
         # As the one element of an array the text is lower-cased once, and not once per term.
         return F.exists(F.array(F.lower(column)), lambda text: _contains(text, terms))
@@ -109,30 +113,9 @@ def _every_term(fields: Sequence[StructField], terms: Sequence[Term], case_sensi
         return F.lit(False)
     if not wanted:
         return None
-    texts = [] if case_sensitive or len(terms) == 1 else [f for f in fields if isinstance(f.dataType, StringType)]
-
-    def every(lowered: dict[str, Column]) -> Column:
-        return _fold(
-            [
-                _fold(
-                    [
-                        _contains(lowered[f.name], [term])
-                        if f.name in lowered
-                        else _holds(quoted(f.name), f.dataType, [term], case_sensitive)
-                        for f in some
-                    ],
-                    _OR,
-                )
-                for term, some in zip(terms, wanted)
-            ],
-            _AND,
-        )
-
-    if not texts:
-        return every({})
-    # All texts of the row lower-cased once, for all terms.
-    row = F.struct(*[F.lower(quoted(f.name)).alias(f"t{i}") for i, f in enumerate(texts)])
-    return F.exists(F.array(row), lambda r: every({f.name: r[f"t{i}"] for i, f in enumerate(texts)}))
+    # A conjunct per term: a row that lacks one term is not looked at for the next.
+    every = [_fold([_holds(quoted(f.name), f.dataType, [term], case_sensitive) for f in some], _OR) for term, some in zip(terms, wanted)]
+    return _fold(every, _AND)
 
 
 def row_predicate(

@@ -182,7 +182,7 @@ def first_failures(runlog: DataFrame) -> DataFrame:
     facts = ["child_index", "notebook_path", "status", "error_class", "error_message"]
     failing = runlog.where(~F.col("status").isin("ok", SKIPPED))
     firsts = failing.groupBy(RUN_KEY).agg(F.min_by(F.struct(*facts), "child_index").alias("f")).select(RUN_KEY, "f.*")
-    message = F.format_string("child %d (%s) %s: %s: %s", *facts)
+    message = F.format_string("child %d (%s) %s: %s: %s", *facts)  # fixed value: the form of the message
     return firsts.withColumn("message", message)
 
 
@@ -194,7 +194,7 @@ def plan_violations(plan: DataFrame) -> DataFrame:
             F.array_compact(
                 F.array(
                     *[
-                        F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{c} must be non-empty"))
+                        F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"the run has no {c}"))
                         for c in ("pipeline_name", "log_table")
                     ]
                 )
@@ -203,7 +203,7 @@ def plan_violations(plan: DataFrame) -> DataFrame:
     ).distinct()
     paths = plan.where(F.coalesce("path", F.lit("")) == "").select(
         *CHILD_KEY,
-        F.format_string("notebooks[%d] missing required non-empty string field 'path'", "child_index").alias("reason"),
+        F.format_string("child %d has no path", "child_index").alias("reason"),
     )
     return headers.select(RUN_KEY, F.lit(None).cast("long").alias("child_index"), "reason").unionByName(paths)
 

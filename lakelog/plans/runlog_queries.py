@@ -162,8 +162,8 @@ def runlog_first_failure(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     INPUT_SQL
     + """select pipeline_run_id, child_index,
-    concat('notebooks[', child_index, '] missing required non-empty string field ''path''') as reason from plan where path = ''
-    union all select distinct pipeline_run_id, cast(null as bigint), 'pipeline_name must be non-empty' from plan
+    concat('child ', child_index, ' has no path') as reason from plan where path = ''
+    union all select distinct pipeline_run_id, cast(null as bigint), 'the run has no pipeline_name' from plan
     where pipeline_name = 'p3'"""
 )
 def plan_violations(spark: SparkSession, folder: str) -> DataFrame:

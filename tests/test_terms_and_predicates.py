@@ -162,3 +162,30 @@ def test_bad_bounds_are_errors(mixed):
         window(mixed, "ts", "", "soon")
     with pytest.raises(ValueError, match="ISO"):
         window(mixed, "ts", "soon", "")
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cond", ["OR", "AND"])
+def test_terms_are_compared_in_generated_code(spark, cond):
+    """Two terms of any kind with either word, and any number of terms with AND: no array function in the plan."""
+    frame = spark.range(3).select("id", F.lit("text").alias("a"), F.lit("more").alias("b"), F.current_timestamp().alias("t"))
+    frame = frame.union(frame)  # not a local relation
+    words = ("error", "2024-01-15") if cond == "OR" else ("error", "2024-01-15", "42", "x", "y")
+    plan = _executed(frame.where(row_predicate(frame.schema.fields, [Term.read(w) for w in words], cond)))
+    assert "exists(" not in plan and "lambda" not in plan
+
+
+def test_many_terms_find_what_single_terms_find(spark):
+    texts = ["Alpha beta", "GAMMA", None, "", "delta ALPHA gamma", "İstanbul", "a%b_c", "x\\y"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, s string")
+    words = ["alpha", "gamma", "delta", "a%b", "\\", "beta", "nowhere", "b_c"]
+    for n in (1, 2, 3, 8):
+        terms = [Term.read(w) for w in words[:n]]
+        held = [{r["id"] for r in frame.where(row_predicate(frame.schema.fields, [t])).collect()} for t in terms]
+        found = {r["id"] for r in frame.where(row_predicate(frame.schema.fields, terms, "OR")).collect()}
+        assert found == set.union(*held)
+        every = {r["id"] for r in frame.where(row_predicate(frame.schema.fields, terms, "AND")).collect()}
+        assert every == set.intersection(*held)
