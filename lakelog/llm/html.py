@@ -27,7 +27,7 @@ from lakelog.llm.rows import map_texts, texts_of
 #: Pages, about, of any length, that the model is trained on; leaves of a training sequence, longer pages are several.
 SAMPLE = 300
 WINDOW = 2000
-#: Names on a leaf's path that count, from the leaf upwards.
+#: Elements on a leaf's path, from the leaf upwards, of which every name counts; of those above, a name counts once.
 PATH = 12
 HIDDEN = 16
 EPOCHS = 5
@@ -67,6 +67,7 @@ _NOT_MAIN_NAMES = frozenset(
 
 # A quote opens a value only after "=", so that a stray one does not swallow the page.
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|!--|[!?/])")
+_TAG_BEGINS = re.compile(r"<(?=/?[a-zA-Z]|[!?])")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -103,7 +104,8 @@ def leaves(markup: str) -> list[Leaf]:
         nonlocal path
         if part:
             if not path and not part.isspace():
-                path = [names for _, names in stack[-PATH:]]
+                above = dict.fromkeys(n for _, names in stack[:-PATH] for n in names)
+                path = [(*above,), *(names for _, names in stack[-PATH:])]
             text.append(part)
 
     def pop_to(depth: int) -> None:
@@ -113,7 +115,7 @@ def leaves(markup: str) -> list[Leaf]:
     def close(wanted: str, stops: frozenset[str]) -> None:
         """Close the nearest open element named in ``wanted`` unless an element of ``stops`` holds it in."""
         if any(open_tags.get(t) for t in wanted.split()):
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
+            for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in wanted.split():
                     return pop_to(depth)
                 if stack[depth][0] in stops:
@@ -159,7 +161,9 @@ def leaves(markup: str) -> list[Leaf]:
         if tag not in _VOID and not m[3].rstrip().endswith("/"):
             stack.append((tag, _names(tag, m[3])))
             open_tags[tag] = open_tags.get(tag, 0) + 1
-    add(markup[at:] if "<" not in markup[at:] else markup[at : markup.index("<", at)])
+    # What looks like a tag and has no end is cut off; any other "<" is text.
+    cut = _TAG_BEGINS.search(markup, at)
+    add(markup[at : cut.start() if cut else len(markup)])
     flush()
     return found
 

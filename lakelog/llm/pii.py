@@ -37,7 +37,8 @@ _LETTERS = dict(
     pair
     for pair in (
         "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs ԁd һh ԛq ԝw ɡg ӏl АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS "
-        "αa ιi κk νv οo ρp υu χx ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ıi ․. 。. ・. ‐- ‑- ‒- –- —- −-"
+        "αa ιi κk νv οo ρp υu χx ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ıi ․. 。. ・. ‐- ‑- ‒- –- —- −- "
+        "օo սu ոn հh ցg զq ՍU ՏS ԼL ՕO ᴀa ʙb ᴄc ᴅd ᴇe ɪi ᴊj ᴋk ʟl ᴍm ɴn ᴏo ᴘp ʀr ᴛt ᴜu ᴠv ᴡw ᴢz ﹒. ．. ﹫@ ＠@ ＋+"
     ).split()
 )
 _INVISIBLE = "­​‌‍⁠﻿"
@@ -56,11 +57,35 @@ _SPELLED = {
 _ODD = re.compile("[" + "".join(_LETTERS).translate({ord(v): None for v in set(_LETTERS.values())}) + _INVISIBLE + _SPACES + r"٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff]")
 _WORDS = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _RUN = re.compile(rf"(?i)(?<!\w)(?:{_WORDS}|[0-9])(?:[ \t-]+(?:{_WORDS}|[0-9]++)(?!\w)){{2,}}")
+_BESIDE_DOT = re.compile(r"(?i)(?<= dot)[ \t]|[ \t](?=dot )")
 _WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)|[ \t]+(?=[A-Za-zéü0-9])")
 _BRACKETED = re.compile(r"(?i)\s?[\[({<]\s?(?:(at|@)|(dot|\.))\s?[\])}>]\s?")
 _AT = re.compile(r"(?i)@| at (?!(?:the|a|an|this|that|each|every) )")
 _SPOKEN_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?:\.| dot )[A-Za-z0-9-]++)++")
 _SPOKEN_IP = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\.| dot )[0-9]++){3}")
+# Words that stand before " at " in prose, and so are not the name in an address; words that announce one.
+_PROSE = frozenset(
+    "about active advert all anyone are article arrive arrived arrives available back based be been book bought buy buys "
+    "call called career careers check click come companies company customers deal deals developer director down "
+    "download employed engineer everyone everything find followed found founder good here him hired hosted how item "
+    "it's items it job jobs join launched life listed listen live lives located look looked looking looks manager me "
+    "meet meeting met more news office offices online open opened order ordered out page pages people play post posted "
+    "price prices product products published purchase purchased read register registered released running search see "
+    "seen sell sells shop shopping sign site sold someone something start started starts stay store stores study team "
+    "that them there they this time today tv up us video visit was watch web website were what work worked working "
+    "works write writes you".split()
+)
+_CUE = re.compile(r"(?i)(?:mail|address|contact|reach|write to|write me|correo|adresse|courriel)\W+(?:\w+\W+){0,2}$")
+_HYPHENED = re.compile(r"(?i)(?<=[a-z0-9])([-_])at\1(?=[a-z0-9])")
+_HYPHENED_DOMAINS = {x: re.compile(rf"(?i)[a-z0-9]++(?:{x}dot{x}[a-z0-9]++)++") for x in "-_"}
+_HYPHENED_DOTS = {x: re.compile(rf"(?i){x}dot{x}") for x in "-_"}
+# Fixed values: "at" and "dot" in Spanish, French and German.
+_FOREIGN = re.compile(r"(?i)(?<=[a-z0-9]) (?:arroba|arobase|klammeraffe) (?=[a-z0-9])")
+_FOREIGN_DOMAIN = re.compile(r"(?i)[a-z0-9-]++(?:(?:\.| (?:punto|point|punkt) )[a-z0-9-]++)++")
+_FOREIGN_DOT = re.compile(r"(?i) (?:punto|point|punkt) ")
+_NUMERAL = rf"(?:{_WORDS})(?!\w)(?:[ \t-]+(?:{_WORDS})(?!\w))*"
+_SPELLED_IP = re.compile(rf"(?i)(?<!\w){_NUMERAL}(?:(?: dot |\.){_NUMERAL}){{3}}")
+_PLUS = re.compile(r"(?i)(?<!\w)plus[ \t]+(?=[0-9](?:[ -]?[0-9]){8})")
 _DOT = re.compile(r"(?i) dot ")
 _ANY_DOT = re.compile(r"(?i)\.| dot ")
 _TOP = re.compile(r"[A-Za-z]{2,24}")
@@ -157,12 +182,47 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     if _SPELLED.keys().isdisjoint(text.lower().translate(_BREAKS).split()):
         return edits
-    for run in _RUN.finditer(text):
-        for m in _WORD.finditer(text, run.start(), run.end()):
-            edits.append((m.start(), m.end(), "" if m[0].isspace() else _SPELLED.get(m[0].lower(), m[0])))
+    runs = [*_RUN.finditer(text), *_SPELLED_IP.finditer(text)]
+    at = 0
+    for start, end in sorted((run.start(), run.end()) for run in runs):
+        for m in _WORD.finditer(text, max(at, start), end):
+            # The spaces around "dot" stay; other ones between digits go.
+            joins = m[0].isspace() and not _BESIDE_DOT.match(text, m.start())
+            if joins or not m[0].isspace():
+                edits.append((m.start(), m.end(), "" if joins else _SPELLED.get(m[0].lower(), m[0])))
+        at = max(at, end)
     return edits
 
 
+def _plus(text: str) -> list[tuple[int, int, str]]:
+    """The word "plus" before the digits of a phone number."""
+    return [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
+
+
+def _joined_words(text: str) -> list[tuple[int, int, str]]:
+    """"-at-" and "-dot-" of one address, and the words for both in other languages."""
+    edits: list[tuple[int, int, str]] = []
+    for found in (_HYPHENED, _FOREIGN):
+        for at in found.finditer(text):
+            hyphen = at[1] if found is _HYPHENED else None
+            domain = (_HYPHENED_DOMAINS[hyphen] if hyphen else _FOREIGN_DOMAIN).match(text, at.end())
+            if domain:
+                dots = _HYPHENED_DOTS[hyphen] if hyphen else _FOREIGN_DOT
+                edits.append((at.start(), at.end(), "@"))
+                edits += [(d.start(), d.end(), ".") for d in dots.finditer(text, domain.start(), domain.end())]
+    return _apart(edits)
+
+
+def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The edits in order, without those that begin inside an earlier one."""
+    apart, end = [], 0
+    for edit in sorted(edits):
+        if edit[0] >= end:
+            apart.append(edit)
+            end = edit[1]
+    return apart
+
+
 def _bracketed(text: str) -> list[tuple[int, int, str]]:
     if not _BRACKET.search(text):
         return []
@@ -192,9 +252,12 @@ def _spoken_emails(text: str) -> Iterator[tuple[re.Match, int, int]]:
         while dots and not _TOP.fullmatch(text, dots[-1].end(), end):  # "example dot com dot 5" ends before " dot 5"
             end = dots.pop().start()
         start = _local_start(text, at.start(), floor)
-        if dots and start < at.start():
-            yield at, start, end
-            floor = end
+        if not dots or start == at.start():
+            continue
+        if at[0] != "@" and text[start : at.start()].lower() in _PROSE and not _CUE.search(text, max(0, start - 40), start):
+            continue  # "look at python.org" names a place
+        yield at, start, end
+        floor = end
 
 
 def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
@@ -208,19 +271,13 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     if _DOT.search(text):
         for m in _SPOKEN_IP.finditer(text):
             edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(text, m.start(), m.end())]
-    edits.sort()
-    apart, end = [], 0
-    for edit in edits:
-        if edit[0] >= end:
-            apart.append(edit)
-            end = edit[1]
-    return apart
+    return _apart(edits)
 
 
 def rewrite(text: str) -> Rewritten | None:
     """The text after all transducers, or None if none of them changes it."""
     out, changed = Rewritten(text), False
-    for transducer in (_lookalikes, _spelled_digits, _bracketed, _at_and_dot):
+    for transducer in (_lookalikes, _spelled_digits, _plus, _bracketed, _joined_words, _at_and_dot):
         if edits := transducer(out.text):
             out.replace(edits)
             changed = True
@@ -228,7 +285,10 @@ def rewrite(text: str) -> Rewritten | None:
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Spans of plain identifiers, and the further ones of disguised identifiers that touch no plain one."""
+    """Spans of plain identifiers, and the further ones of disguised identifiers.
+
+    A further span touches no plain one, or holds all that it touches and more: the plain pattern found a part of it.
+    """
     plain, more = detect(text), []
     if (new := rewrite(text)) is not None:
         taken = sorted((s, e) for s, _, e in plain)
@@ -237,7 +297,8 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
             s, e = new.starts[start], new.ends[end - 1]
             while at < len(taken) and taken[at][1] <= s and taken[at][0] <= s:
                 at += 1
-            if not any(s < b and a < e for a, b in taken[max(0, at - 4) : at + 4]):
+            touched = [(a, b) for a, b in taken[max(0, at - 4) : at + 4] if s < b and a < e]
+            if all(s <= a and b <= e and (s, e) != (a, b) for a, b in touched):
                 more.append((s, kind, e))
     return plain, more
 
@@ -297,6 +358,9 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
         return run
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names = [f.name.replace("`", "``") for f in docs.schema]
+    schema = ", ".join(f"`{name}` {f.dataType.simpleString()}" for name, f in zip(names, docs.schema, strict=True))
     out = map_texts(docs, "text", make, schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
