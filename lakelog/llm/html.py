@@ -71,6 +71,7 @@ _TAG_BEGINS = re.compile(r"<(?=/?[a-zA-Z]|[!?])")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"[^\W_]")
 
 
 # ------------------------------------------------------------------ leaves
@@ -85,9 +86,12 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def leaves(markup: str) -> list[Leaf]:
-    """Texts of a page in order, with their paths; white space is one space, character references are decoded."""
+    """Texts of a page in order, with their paths; white space is one space, character references are decoded.
+
+    Marks without a letter or digit outside of every element are what is left of broken markup, and no text.
+    """
     found: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, names, and each name so far once
     open_tags: dict[str, int] = {}
     text: list[str] = []
     path: list[tuple[str, ...]] = []
@@ -95,7 +99,7 @@ def leaves(markup: str) -> list[Leaf]:
     def flush() -> None:
         nonlocal path
         joined = _SPACE.sub(" ", references.unescape("".join(text))).strip()
-        if joined:
+        if joined and (path or _WORD.search(joined)):
             found.append((tuple(n for names in path for n in names), joined))
         text.clear()
         path = []
@@ -104,8 +108,8 @@ def leaves(markup: str) -> list[Leaf]:
         nonlocal path
         if part:
             if not path and not part.isspace():
-                above = dict.fromkeys(n for _, names in stack[:-PATH] for n in names)
-                path = [(*above,), *(names for _, names in stack[-PATH:])]
+                path = [stack[-PATH - 1][2]] if len(stack) > PATH else []
+                path += [names for _, names, _ in stack[-PATH:]]
             text.append(part)
 
     def pop_to(depth: int) -> None:
@@ -159,7 +163,9 @@ def leaves(markup: str) -> list[Leaf]:
         if tag in _SAME:
             close(_SAME[tag], _SAME_STOPS)
         if tag not in _VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, _names(tag, m[3])))
+            names, above = _names(tag, m[3]), stack[-1][2] if stack else ()
+            new = tuple(n for n in names if n not in above)
+            stack.append((tag, names, above + new if new else above))
             open_tags[tag] = open_tags.get(tag, 0) + 1
     # What looks like a tag and has no end is cut off; any other "<" is text.
     cut = _TAG_BEGINS.search(markup, at)
@@ -243,7 +249,7 @@ def prepare(features: Features, sequences: list[list[Leaf]]) -> tuple[np.ndarray
             own = features.path(names)
             rows += own
             owner += [i * len(sequences) + j] * len(own)
-            weight += [len(own) ** -0.5] * len(own)
+            weight += [max(1, len(own)) ** -0.5] * len(own)
     return np.array(rows, np.int64), np.array(owner, np.int64), np.array(weight, np.float32), texts, lengths
 
 

@@ -170,3 +170,19 @@ def test_only_raw_text_elements_are_skipped_and_values_have_any_length():
     assert texts(f'<p data-x="{"a > b " * 2000}">one</p>') == "one" and texts(f"<p data-x='{'>' * 9000}'>one</p>") == "one"
     assert texts('<p title=">">one</p><a "x>two</a> <b class="y">three</b>') == "one | two three"
     assert texts("<script>if (a > b) x()</script><style>p > a {}</style><title>t</title><p>one</p>") == "one"
+
+
+def test_a_stray_less_than_sign_is_text():
+    page = "<article><p>We know that a < b holds and c <= d.</p><p>If x <3 then y.</p></article><p>tail < of"
+    assert [text for _, text in html.leaves(page)] == ["We know that a < b holds and c <= d.", "If x <3 then y.", "tail < of"]
+    assert [text for _, text in html.leaves("<p>kept</p><p>cut <a href='x")] == ["kept", "cut"]
+
+
+@pytest.mark.parametrize("levels", [1, 14, 30, 90])
+def test_rules_see_all_elements_above_a_leaf(levels):
+    inside = "<div class='row'>" * levels + "<p>Text.</p>" + "</div>" * levels
+    for tag, label in (("article", True), ("nav", False), ("section", None)):
+        (leaf,) = html.leaves(f"<{tag}>{inside}</{tag}>")
+        assert html.teacher(leaf) is label
+    listed = html.leaves("<ul><li>" + "<b>" * levels + "one<li>two</ul>")
+    assert [names for names, _ in listed][1] == ("ul", "li")
