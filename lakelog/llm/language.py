@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakelog.llm.pieces import Memory
 from lakelog.llm.rows import map_texts, texts_of, written
 
-#: Labelled rows, about, that the trigram model is fitted on; languages it holds at most.
-SAMPLE = 20_000
-LANGUAGES = 64
+#: Rows of each label, about, that the trigram model is fitted on.
+SAMPLE = 5_000
 BUCKETS = 1 << 15
 #: Trigrams of a word overlap by two letters, so each counts as a third of an observation.
 TEMPER = 1 / 3
@@ -43,12 +42,20 @@ def _trigrams(word: str) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and log-likelihoods ``[bucket, language]`` with "other" last, from ``doc_id``, ``text``, ``lang``.
 
-    About ``sample`` rows with a label are used, chosen by a hash. Trigrams are counted on the executors; a table of
-    language x bucket reaches the driver.
+    Every label is a language of the model, however rare. About ``sample`` rows of each are used, chosen by a hash; all,
+    if there are fewer. Trigrams are counted on the executors; a table of language x bucket reaches the driver, where
+    rows without a label leave nothing. Without labels there is only "other".
     """
     known = labelled.select("doc_id", F.lower(F.split("lang", "[-_]")[0]).alias("lang"), "text").filter("lang <> ''")
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
+    table = np.full((BUCKETS, len(languages) + 1), 0.5)
+    table[:, -1] = 1
+    if not languages:
+        return languages, np.log(table / table.sum(0))
+    share = {lang: int(min(1.0, sample / n) * (1 << 20)) + 1 for lang, n in sizes.items()}
+    bound = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < bound)
 
     def make():
         memory = Memory(lambda word: _trigrams(word).tobytes())
@@ -69,12 +76,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     counts = map_texts(chosen, "text", make, "lang string, bucket long, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    kept = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in kept.collect())
-    table = np.full((BUCKETS, len(languages) + 1), 0.5)
-    for row in counts.filter(F.col("lang").isin(languages)).toLocalIterator():
-        table[row["bucket"], languages.index(row["lang"])] += row["n"]
-    table[:, -1] = 1
+    held = counts.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
+    for row in held.toLocalIterator():  # a row of at most BUCKETS pairs for each language
+        table[row["at"], languages.index(row["lang"])] += row["n"]
     return languages, np.log(table / table.sum(0))
 
 

@@ -75,6 +75,14 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(language.of_documents(docs), language.fit(docs)).drop("text_hash")
 
 
+@query
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by all evidence: declared markup language, address suffix, host and its parent domain."""
+    pages = language.of_pages(table(spark, folder, "pages"))
+    found = language.identify(pages, language.fit(table(spark, folder, "documents")))
+    return found.withColumnRenamed("doc_id", "page_id").drop("text_hash")
+
+
 @query
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lakelog.llm import alike, html, pii
+from lakelog.llm import alike, html, language, lm, pii
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -186,3 +186,78 @@ def test_rules_see_all_elements_above_a_leaf(levels):
         assert html.teacher(leaf) is label
     listed = html.leaves("<ul><li>" + "<b>" * levels + "one<li>two</ul>")
     assert [names for names, _ in listed][1] == ("ul", "li")
+
+
+# ------------------------------------------------------------------ language: the fusion, and labels of any number
+
+
+def _shares(rows, size, towards):
+    """Sums of the rows' beliefs, drawn towards other shares."""
+    return (sum(rows, np.zeros(size)) + language.STRENGTH * towards) / (sum(map(sum, rows)) + language.STRENGTH)
+
+
+def _fused(rows, table):
+    """Posterior of each row, one after the other: ``(text, declared, suffix, host, parent)`` to shares and best place."""
+    size = table.shape[1]
+    grams = [[g for w in text.lower().split() for g in language._trigrams(w)] for text, *_ in rows]
+    likelihood = [sum((table[g] for g in gs), np.zeros(size)) * language.TEMPER for gs in grams]
+    belief = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() if gs else None for x, gs in zip(likelihood, grams, strict=True)]
+    judged = [(row, b) for row, b in zip(rows, belief, strict=True) if b is not None]
+    share = (sum((b for _, b in judged), np.zeros(size)) + 1) / (len(judged) + size)
+    share = np.r_[share[:-1] * (1 - language.OTHER_PRIOR) / share[:-1].sum(), language.OTHER_PRIOR]
+    out = []
+    for (_, declared, suffix, host, parent), x in zip(rows, likelihood, strict=True):
+        score = x + np.log(share)
+        known_host = [b for r, b in judged if host is not None and r[3] == host]
+        if known_host:
+            above = _shares([b for r, b in judged if r[4] == parent], size, share)
+            score = x + np.log(np.r_[_shares(known_host, size, above)[:-1], language.OTHER_PRIOR])
+        for place, value in ((1, declared), (2, suffix)):
+            same = [b for r, b in judged if value is not None and r[place] == value]
+            if same:
+                score[:-1] += np.log(_shares(same, size, share)[:-1] / share[:-1])
+        out.append((np.exp(score - score.max()) / np.exp(score - score.max()).sum()).max())
+    return out
+
+
+def test_fusion_is_that_of_plain_python(spark):
+    texts = {"en": "the of and that with this", "de": "der und das nicht mit ist", "fr": "le la et que dans pour"}
+    taught = [(i, t, lang, None, None, None, None) for i, (lang, t) in enumerate(texts.items())]
+    kinds = "doc_id long, text string, lang string, declared string, suffix string, host string, parent string"
+    languages, table = language.fit(spark.createDataFrame(taught, kinds))
+    assert languages == ["de", "en", "fr"]
+    random = np.random.default_rng(3)
+    words = [w for t in texts.values() for w in t.split()] + ["xyzzy", "42", "qua"]
+    rows = []
+    for _ in range(60):
+        host, parent = [("a.x.de", "x.de"), ("b.x.de", "x.de"), ("y.fr", "y.fr"), ("z", None), (None, None)][random.integers(5)]
+        text = " ".join(random.choice(words, random.integers(0, 4)))
+        rows.append((text, [None, "de", "en", "tlh"][random.integers(4)], [None, "de", "fr"][random.integers(3)], host, parent))
+    rows += rows[:5]
+    docs = spark.createDataFrame([(i, t, None, *rest) for i, (t, *rest) in enumerate(rows)], kinds).drop("lang")
+    found = {r["doc_id"]: r for r in language.identify(docs, (languages, table)).collect()}
+    assert len(found) == len(rows)
+    for i, (row, expected) in enumerate(zip(rows, _fused(rows, table), strict=True)):
+        letters = any(c.isalpha() for c in row[0])
+        assert found[i]["probability"] == pytest.approx(expected if letters else 0.0, rel=1e-6), row
+
+
+def test_every_label_is_a_language_of_the_model(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, f"l{i:02}") for i in range(80)]
+    rows += [(1000 + i, "the of and that with", "en") for i in range(300)] + [(2000, None, "en"), (2001, "x", None), (2002, "y", "")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, table = language.fit(labelled, sample=20)
+    assert languages == sorted(["en", *(f"l{i:02}" for i in range(80))]) and table.shape[1] == 82
+    few = language._trigrams("wordba")  # of the label that has a single row
+    assert all(table[g, languages.index("l01")] > table[g, languages.index("en")] for g in few[-2:])
+    assert language.fit(labelled.filter("lang is null"))[0] == []
+
+
+def test_sample_texts_are_learned_from_whole(monkeypatch):
+    coder = lm.Coder({b"": 9, b"the": 7, b"of": 3}, 30, np.ones(256, np.int64))
+    monkeypatch.setattr(lm, "ROUND", 4)
+    tokens = [*lm.words_of("the of the odd of the the of of"), b""]
+    pieces = list(lm._pieces([tokens, [b""]], coder))
+    assert [t for run, _ in pieces[:-1] for t in run] == tokens
+    symbols = coder.symbols(tokens)
+    assert [b.tolist() for _, b in pieces] == [[[0, 0]], [[symbols[3], symbols[2]]], [[symbols[7], symbols[6]]], [[0, 0]]]
