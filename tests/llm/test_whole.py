@@ -1,6 +1,9 @@
 """Cases that an operator answered from a part of its input before."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -261,3 +264,36 @@ def test_sample_texts_are_learned_from_whole(monkeypatch):
     assert [t for run, _ in pieces[:-1] for t in run] == tokens
     symbols = coder.symbols(tokens)
     assert [b.tolist() for _, b in pieces] == [[[0, 0]], [[symbols[3], symbols[2]]], [[symbols[7], symbols[6]]], [[0, 0]]]
+
+
+def test_lm_words_of_a_column_are_those_of_each_text():
+    texts = ["".join(map(chr, range(128))), "", None, " \t a\x0bB  ", "É A\x1cb\x85c d ", "x", "the of the"]
+    column = pa.array(["cut off", *texts]).slice(1)
+    words, lengths = lm.split_words(column)
+    assert words.to_pylist() == [w for t in texts for w in lm.words_of(t or "")]
+    assert lengths.tolist() == [len(lm.words_of(t or "")) for t in texts]
+    coder = lm.Coder({b"": 9, b"the": 7, b"of": 3}, 30, np.ones(256, np.int64))
+    expected = [coder.symbols([*lm.words_of(t or ""), b""]).tolist() for t in texts]
+    assert [s.tolist() for s in coder.symbols_of(column)] == expected
+    many = pa.array([f"The {i} of\tB" for i in range(3000)])
+    for start, n in ((0, 10), (1280, 1234), (2990, 10)):
+        words, lengths = lm.split_words(many.slice(start, n))
+        assert words.to_pylist() == [w for i in range(start, start + n) for w in (b"the", b"%d" % i, b"of", b"b")]
+        assert lengths.tolist() == [4] * n
+
+
+def test_lm_slots_hold_every_bit_of_the_training_texts(spark):
+    texts = ["the of the odd", "of " * 90, "", None, "zebra the of odd"]
+    tokens = [[*lm.words_of(t or ""), b""] for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = {bytes(r["word"]): r["c"] for r in lm.count_tokens(docs).collect()}
+    assert counts == Counter(w for ws in tokens for w in ws)
+    listed = {w: c for w, c in counts.items() if w in (b"", b"the", b"of")}
+    coder = lm.Coder(listed, sum(counts.values()), np.ones(256, np.int64))
+    zeros, ones = lm.count_slots(docs, coder)
+    expected = np.zeros((2, len(zeros)), np.int64)
+    for ws in tokens:
+        _, slots, bit = coder.bits(coder.symbols(ws), ws.__getitem__, np.zeros(len(ws), np.int64), np.zeros((1, 2), np.int64))
+        for row in slots:
+            np.add.at(expected, (bit, row), 1)
+    assert (zeros == expected[0]).all() and (ones == expected[1]).all()
