@@ -4,7 +4,7 @@ A text is its words and an end. Each is written in bits: frequent words, the end
 bytes of other words and their terminator by another. Three predictors see each bit, by its place in the code together
 with no, one or two words before it (in a spelled word: one, two or three bytes). A predictor is a table of hashed slots
 with the zeros and ones that the training texts have there. Their log odds are mixed with weights that a gate picks
-(kind of code and depth in it). Weights begin as learned on a bounded sample and follow the text: they, and a final
+(kind of code and depth in it). Weights begin as learned on all training texts and follow the text: they, and a final
 adaptive refinement of the mixed probability, are updated after each round of a text, and rounds grow from 16 tokens.
 Every bit is predicted from what comes before it only, so the product of the predictions is a probability.
 
@@ -34,8 +34,6 @@ from lakelog.llm.rows import slices, texts_of, written
 WORDS = (1 << 17) - 4
 LONGEST = 64
 SLOT_BITS = 18
-#: Training rows, about, that the first weights are learned on.
-SAMPLE = 400
 PASSES = 2
 #: Most tokens of a text in a round, and of all texts of a block.
 ROUND = 4096
@@ -403,30 +401,82 @@ def score_texts(
 
 
 def learn_weights(texts: list[list[bytes]], coder: Coder, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Gated weights after online passes over sample texts, each seen without its own share in the counts.
+    """Gated weights after online passes over texts, each seen without its own share in the counts.
 
     A longer text takes part in pieces of ``ROUND`` tokens, each after the two tokens before it.
     """
-    k = 3
-    weights = np.full((_GATES, k), 0.4)
+    weights = np.full((_GATES, 3), 0.4)
     for _ in range(PASSES):
-        for run, before in _pieces(texts, coder):
-            alone = np.zeros(len(run), np.int64)
-            gate, slots, bit = coder.bits(coder.symbols(run), run.__getitem__, alone, before)
-            odds = []
-            for row in slots:
-                used, place = np.unique(row, return_inverse=True)
-                own1 = np.bincount(place, bit)
-                own0 = np.bincount(place) - own1
-                n1, n0 = np.maximum(0, ones[used] - own1), np.maximum(0, zeros[used] - own0)
-                odds.append(np.log((n1 + _PRIOR) / (n0 + _PRIOR))[place])
-            error = bit - _logistic(sum(weights[gate, i] * odds[i] for i in range(k)))
-            seen = np.maximum(1, np.bincount(gate, minlength=_GATES))
-            for i in range(k):
-                weights[:, i] += _RATE * np.bincount(gate, error * odds[i], minlength=_GATES) / np.sqrt(seen)
+        weights, _ = _learn_pass(_pieces(texts, coder), coder, zeros, ones, weights)
     return weights
 
 
+def _learn_pass(
+    pieces: Iterator[tuple[list[bytes], np.ndarray]], coder: Coder, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray
+) -> tuple[np.ndarray, int]:
+    """``weights`` updated online over the pieces (tokens, or tokens and symbols), and the bits seen."""
+    k, weights, seen_bits = weights.shape[1], weights.copy(), 0
+    for piece in pieces:
+        run, before = piece[0], piece[-1]
+        symbols = piece[1] if len(piece) == 3 else coder.symbols(run)
+        alone = np.zeros(len(run), np.int64)
+        gate, slots, bit = coder.bits(symbols, run.__getitem__, alone, before)
+        odds = []
+        for row in slots:
+            used, place = np.unique(row, return_inverse=True)
+            own1 = np.bincount(place, bit)
+            own0 = np.bincount(place) - own1
+            n1, n0 = np.maximum(0, ones[used] - own1), np.maximum(0, zeros[used] - own0)
+            odds.append(np.log((n1 + _PRIOR) / (n0 + _PRIOR))[place])
+        error = bit - _logistic(sum(weights[gate, i] * odds[i] for i in range(k)))
+        seen = np.maximum(1, np.bincount(gate, minlength=_GATES))
+        for i in range(k):
+            weights[:, i] += _RATE * np.bincount(gate, error * odds[i], minlength=_GATES) / np.sqrt(seen)
+        seen_bits += len(bit)
+    return weights, seen_bits
+
+
+def learned_weights(training: DataFrame, coder: Coder, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Gated weights learned on every training text, ``PASSES`` times over all of them.
+
+    In a pass each task updates the weights of the pass before online over its texts, as ``learn_weights`` does; the
+    weights of the pass are the tasks' mean, each by the bits it saw. Only ``_GATES * 3`` sums a task reach the driver.
+    """
+    weights = np.full((_GATES, 3), 0.4)
+    for _ in range(PASSES):
+
+        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            mine, bits = start, 0
+            for batch in batches:
+                for part in slices(batch, "text", LOOKED_UP_CHARS, LOOKED_UP_ROWS):
+                    texts = [[*words_of(t), b""] for t in texts_of(part)]
+                    mine, n = _learn_pass(_symbol_pieces(texts, coder.symbols_of(part.column("text"))), coder, zeros, ones, mine)
+                    bits += n
+            cells = np.arange(mine.size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells), pa.array(mine.ravel() * bits), pa.array(np.full(mine.size, bits, np.int64))],
+                names=["cell", "w", "bits"],
+            )
+
+        sums = training.select("text").mapInArrow(run, "cell long, w double, bits long").groupBy("cell")
+        total = sums.agg(F.sum("w").alias("w"), F.sum("bits").alias("bits")).collect()
+        if total and total[0]["bits"] > 0:
+            out = np.empty(weights.size)
+            for row in total:
+                out[row["cell"]] = row["w"] / row["bits"]
+            weights = out.reshape(weights.shape)
+    return weights
+
+
+def _symbol_pieces(texts: list[list[bytes]], symbols: list[np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """As ``_pieces``, with the symbols of each piece, taken from those of whole texts."""
+    for tokens, coded in zip(texts, symbols, strict=True):
+        before = np.zeros((1, 2), np.int64)
+        for at in range(0, len(tokens), ROUND):
+            yield tokens[at : at + ROUND], coded[at : at + ROUND], before
+            before = coded[at : at + ROUND][-2:][::-1][None]
+
+
 def _pieces(texts: list[list[bytes]], coder: Coder) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """All texts in pieces of ``ROUND`` tokens at most, with the two symbols before each, the nearer first."""
     for tokens in texts:
@@ -456,10 +506,7 @@ def score_documents(docs: DataFrame, held_out: Callable[[Column], Column] = is_h
     _, frequent = _frequent(counts)
     coder = Coder(frequent, train_tokens, _letters(counts, frequent))
     zeros, ones = count_slots(training, coder)
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    chosen = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = [[*words_of(r["text"] or ""), b""] for r in chosen.select("text").limit(4 * SAMPLE).toLocalIterator()]
-    weights = learn_weights(sorted(texts), coder, zeros, ones)
+    weights = learned_weights(training, coder, zeros, ones)
     odds = np.log((ones + _PRIOR) / (zeros + _PRIOR)).astype(np.float32)
     known = np.log10(coder.counts + 1.0)
 
