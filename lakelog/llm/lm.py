@@ -405,67 +405,72 @@ def learn_weights(texts: list[list[bytes]], coder: Coder, zeros: np.ndarray, one
 
     A longer text takes part in pieces of ``ROUND`` tokens, each after the two tokens before it.
     """
+    facts = [_facts(run, coder.symbols(run), before, coder, zeros, ones) for run, before in _pieces(texts, coder)]
     weights = np.full((_GATES, 3), 0.4)
     for _ in range(PASSES):
-        weights, _ = _learn_pass(_pieces(texts, coder), coder, zeros, ones, weights)
+        for fact in facts:
+            _update(weights, *fact)
     return weights
 
 
-def _learn_pass(
-    pieces: Iterator[tuple[list[bytes], np.ndarray]], coder: Coder, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray
-) -> tuple[np.ndarray, int]:
-    """``weights`` updated online over the pieces (tokens, or tokens and symbols), and the bits seen."""
-    k, weights, seen_bits = weights.shape[1], weights.copy(), 0
-    for piece in pieces:
-        run, before = piece[0], piece[-1]
-        symbols = piece[1] if len(piece) == 3 else coder.symbols(run)
-        alone = np.zeros(len(run), np.int64)
-        gate, slots, bit = coder.bits(symbols, run.__getitem__, alone, before)
-        odds = []
-        for row in slots:
-            used, place = np.unique(row, return_inverse=True)
-            own1 = np.bincount(place, bit)
-            own0 = np.bincount(place) - own1
-            n1, n0 = np.maximum(0, ones[used] - own1), np.maximum(0, zeros[used] - own0)
-            odds.append(np.log((n1 + _PRIOR) / (n0 + _PRIOR))[place])
-        error = bit - _logistic(sum(weights[gate, i] * odds[i] for i in range(k)))
-        seen = np.maximum(1, np.bincount(gate, minlength=_GATES))
-        for i in range(k):
-            weights[:, i] += _RATE * np.bincount(gate, error * odds[i], minlength=_GATES) / np.sqrt(seen)
-        seen_bits += len(bit)
-    return weights, seen_bits
+def _facts(
+    run: list[bytes], symbols: np.ndarray, before: np.ndarray, coder: Coder, zeros: np.ndarray, ones: np.ndarray
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Gates, each predictor's log odds without the piece's own share in the counts, and the bits of a piece."""
+    alone = np.zeros(len(run), np.int64)
+    gate, slots, bit = coder.bits(symbols, run.__getitem__, alone, before)
+    odds = []
+    for row in slots:
+        used, place = np.unique(row, return_inverse=True)
+        own1 = np.bincount(place, bit)
+        own0 = np.bincount(place) - own1
+        n1, n0 = np.maximum(0, ones[used] - own1), np.maximum(0, zeros[used] - own0)
+        odds.append(np.log((n1 + _PRIOR) / (n0 + _PRIOR))[place])
+    return gate, odds, bit
+
+
+def _update(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray], bit: np.ndarray) -> None:
+    """One online step of the weights, in place, over the bits of a piece."""
+    error = bit - _logistic(sum(weights[gate, i] * odds[i] for i in range(len(odds))))
+    seen = np.maximum(1, np.bincount(gate, minlength=_GATES))
+    for i in range(len(odds)):
+        weights[:, i] += _RATE * np.bincount(gate, error * odds[i], minlength=_GATES) / np.sqrt(seen)
 
 
 def learned_weights(training: DataFrame, coder: Coder, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Gated weights learned on every training text, ``PASSES`` times over all of them.
+    """Gated weights learned on every training text, as ``learn_weights`` learns them, by all tasks at once.
 
-    In a pass each task updates the weights of the pass before online over its texts, as ``learn_weights`` does; the
-    weights of the pass are the tasks' mean, each by the bits it saw. Only ``_GATES * 3`` sums a task reach the driver.
+    A task takes its texts in the slices that are scored together; the bits of a slice are made once and the weights pass ``PASSES`` times over
+    them, online. The weights are the tasks' mean, each by the bits it saw. Only ``_GATES * 3`` sums a task reach the
+    driver.
     """
-    weights = np.full((_GATES, 3), 0.4)
-    for _ in range(PASSES):
+    start = np.full((_GATES, 3), 0.4)
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            mine, bits = start, 0
-            for batch in batches:
-                for part in slices(batch, "text", LOOKED_UP_CHARS, LOOKED_UP_ROWS):
-                    texts = [[*words_of(t), b""] for t in texts_of(part)]
-                    mine, n = _learn_pass(_symbol_pieces(texts, coder.symbols_of(part.column("text"))), coder, zeros, ones, mine)
-                    bits += n
-            cells = np.arange(mine.size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells), pa.array(mine.ravel() * bits), pa.array(np.full(mine.size, bits, np.int64))],
-                names=["cell", "w", "bits"],
-            )
-
-        sums = training.select("text").mapInArrow(run, "cell long, w double, bits long").groupBy("cell")
-        total = sums.agg(F.sum("w").alias("w"), F.sum("bits").alias("bits")).collect()
-        if total and total[0]["bits"] > 0:
-            out = np.empty(weights.size)
-            for row in total:
-                out[row["cell"]] = row["w"] / row["bits"]
-            weights = out.reshape(weights.shape)
-    return weights
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, bits = start.copy(), 0
+        for batch in batches:
+            for part, symbols in _parts(batch, coder):
+                texts = [[*words_of(t), b""] for t in texts_of(part)]
+                pieces = _symbol_pieces(texts, symbols)
+                facts = [_facts(run, symbols, before, coder, zeros, ones) for run, symbols, before in pieces]
+                for _ in range(PASSES):
+                    for fact in facts:
+                        _update(mine, *fact)
+                bits += sum(len(fact[2]) for fact in facts)
+        cells = np.arange(mine.size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cells), pa.array(mine.ravel() * bits), pa.array(np.full(mine.size, bits, np.int64))],
+            names=["cell", "w", "bits"],
+        )
+
+    sums = training.select("text").mapInArrow(run, "cell long, w double, bits long").groupBy("cell")
+    total = sums.agg(F.sum("w").alias("w"), F.sum("bits").alias("bits")).collect()
+    if not total or total[0]["bits"] == 0:
+        return start
+    out = np.empty(start.size)
+    for row in total:
+        out[row["cell"]] = row["w"] / row["bits"]
+    return out.reshape(start.shape)
 
 
 def _symbol_pieces(texts: list[list[bytes]], symbols: list[np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
