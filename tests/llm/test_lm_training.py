@@ -18,7 +18,12 @@ def test_lm_weights_learned_on_all_training_texts(spark):
     texts = [f"the of odd{i % 7} the word{i % 13} of" * (1 + i % 3) for i in range(2_000)] + ["", None]
     docs, coder, zeros, ones = _setup(spark, texts)
     tokens = [[*lm.words_of(t or ""), b""] for t in texts]
-    expected = lm.learn_weights(tokens, coder, zeros, ones)
+    expected = np.full((lm._GATES, 3), 0.4)
+    for at in range(0, len(tokens), lm.SCORED_ROWS):  # the slices scored together, each passed over twice
+        facts = [lm._facts(run, coder.symbols(run), before, coder, zeros, ones) for run, before in lm._pieces(tokens[at : at + lm.SCORED_ROWS], coder)]
+        for _ in range(lm.PASSES):
+            for fact in facts:
+                lm._update(expected, *fact)
     found = lm.learned_weights(docs, coder, zeros, ones)
     assert np.allclose(found, expected, rtol=1e-9, atol=1e-12)
     # the last texts take part: learned without them, the weights differ
