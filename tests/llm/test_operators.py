@@ -486,13 +486,16 @@ def test_pipeline_stages(spark, docs):
     assert 10_001 not in rows and 10_002 not in rows and rows[10_003].endswith("[EMAIL]")
     assert not any(pii.detect(t) for t in rows.values())
     whole = {i: t for i, t in ((r["doc_id"], r["text"]) for r in source.collect()) if t and re.search(r"[^\W\d_]", t)}
-    sets = {i: set(alike.shingle_set(t).tolist()) for i, t in whole.items()}
-    group = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
-                low, high = sorted((group[a], group[b]))
-                group = {i: low if g == high else g for i, g in group.items()}
-    assert set(rows) == set(group.values())
+    prints = {i: simhash.simhash(simhash.shingle_hashes(t, 3, 42)) for i, t in whole.items()}
+    group, least = _groups(set(prints.values()), 3), {}
+    for i, p in prints.items():
+        least[group[p]] = min(least.get(group[p], i), i)
+    assert set(rows) == set(least.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, FOLDER)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(rows)
+
+
+def test_pipeline_dedup_stage_is_simhash(spark, docs):
+    _, stage = corpus_pipeline.STAGES[1]
+    kept = {(r["doc_id"], r["text"]) for r in stage(spark, docs, FOLDER).collect()}
+    assert kept == {(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()}
